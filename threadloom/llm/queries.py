@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokencount
+from . import decontam, neardup, packing, tokencount
 from .common import parquet
 
 
@@ -20,6 +20,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parquet(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.verdicts(decontam.find_hits(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark")))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(parquet(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(parquet(spark, sf_dir, "documents"), tokenizer_path())
 
