@@ -25,8 +25,8 @@ from .common import text_or_empty, written
 from .tokenization import Encoder, packed
 
 CAPACITY, END_ID = 2048, 0
-#: Effort of the search: nodes of the tree, fillings looked at and kept for one largest piece.
-NODES, LOOKS, KEEP = 400, 1500, 4
+#: Effort of the search: nodes of the tree in all, fillings looked at and kept for one largest piece.
+NODES, LOOKS, KEEP = 3000, 800, 4
 _encoders: dict[str, Encoder] = {}
 
 Filling = tuple[int, ...]
@@ -146,7 +146,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     Depth-first: the largest piece left opens a sequence, its undominated fillings are the branches, first
     used as often as they can be, then once. A branch whose waste so far leaves no packing better than the
     incumbent is cut. The first incumbent is best-fit decreasing; the search ends at the lower bound, or after
-    `nodes` full descents' worth of branches.
+    `nodes` nodes: the packing is whole then too, with the best incumbent that was met.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n > 0}
     if not counts:
@@ -157,7 +157,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_n = sum(t for _, t in best)
-    budget = nodes * (len(counts) + 50)
+    budget = nodes
 
     # an explicit stack: (pieces left, patterns so far, sequences, waste)
     stack = [(counts, None, 0, 0)]
