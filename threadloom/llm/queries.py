@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, quality, secrets, sharding, tokencount
+from . import decontam, neardup, packing, quality, secrets, sharding, tokencount, urls, warc
 from .common import parquet
 
 
@@ -24,6 +24,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parquet(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(parquet(spark, sf_dir, "pages"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(parquet(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(parquet(spark, sf_dir, "documents"))
 
@@ -49,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.SQL, "op4_quality_rules": quality.SQL}
+    return {"op1_secret_scans": secrets.SQL, "op4_quality_rules": quality.SQL, "op5_url_filters": urls.SQL}

@@ -3,7 +3,7 @@
 Tier one is a table of the most frequent pre-tokens and their lengths in tokens, broadcast to every worker;
 tier two is the worker's own bounded cache, filled by encoding what tier one lacks. Nothing is shuffled: a
 text is counted in the task that reads it. The table only saves work. A count never depends on it, so it is
-drawn from the first SAMPLE_TEXTS rows, and it holds at most TABLE_WORDS words (about 2 MB).
+drawn from the first SAMPLE_WORDS words, and it holds at most TABLE_WORDS words (about 2 MB).
 
 Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each by itself; other columns of the
 input, whatever their names, are not read. An empty table gives an empty result.
@@ -22,26 +22,21 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 from .tokenization import Encoder
 
-SAMPLE_TEXTS, TABLE_WORDS, TOKEN_LIMIT = 2000, 32_768, 2048
+SAMPLE_WORDS, WORD_LENGTH, TABLE_WORDS, TOKEN_LIMIT = 200_000, 64, 32_768, 2048
 _encoders: dict[str, Encoder] = {}
 
 
 def _frequent(docs: DataFrame, path: str, text: str, sample: int, words: int) -> dict[str, int]:
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path, len), Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen.update(encoder.pre_tokens(value))
-                if len(seen) > 16 * words:
-                    seen = Counter(dict(seen.most_common(4 * words)))
-        best = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:words]]
-        yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()), pa.array([encoder.words[w] for w in best], pa.int32())], ["word", "length"])
-
-    rows = docs.select(text_or_empty(text).alias("text")).limit(sample).mapInArrow(top, "word string, length int").collect()
-    return {r["word"]: r["length"] for r in rows[:words]}
+    """take() reads partitions one after another and stops, so a large corpus is not scanned for it."""
+    word = F.explode(F.split(text_or_empty(text), r"\s+")).alias("word")
+    encoder, seen = Encoder(path, len), Counter()
+    for row in docs.select(word).where(F.length("word") <= WORD_LENGTH).take(sample):
+        seen.update(encoder.pre_tokens(row["word"]))
+    best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:words]
+    return {w: encoder.words[w] for w, _ in best}
 
 
-def token_lengths(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE_TEXTS, words: int = TABLE_WORDS):
+def token_lengths(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE_WORDS, words: int = TABLE_WORDS):
     """A Column with the number of tokens of `text`, for docs.select()."""
     table = docs.sparkSession.sparkContext.broadcast(_frequent(docs, path, text, sample, words))
 
