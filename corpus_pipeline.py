@@ -1,11 +1,63 @@
-"""The corpus pipeline; its stages are added as the operators come."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, packing.
 
-STAGES: list = []
+Each stage gets all that the one before kept, as it is read again from Parquet. run() applies them in turn,
+with each stage's rows written to the shared folder in between.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.llm import decontam, neardup, packing, quality, secrets
+from threadloom.llm.common import parquet, written
+from threadloom.llm.queries import tokenizer_path
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text, which the stage may have changed."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass; lines that too many texts of a host share are cut out of them."""
+    return _counted(quality.keep(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that of the smallest doc_id: five words, similarity 0.8."""
+    return neardup.keep(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; benchmark passages are cut out of the rest."""
+    return _counted(decontam.clean(docs, parquet(spark, sf_dir, "benchmark")))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its secrets redacted."""
+    return _counted(secrets.redact(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Near-duplicates, tokenization and packing are beyond SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

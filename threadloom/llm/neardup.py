@@ -225,3 +225,10 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int, text: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
     found = reps.where("rep is not null").join(texts, "rep").select("cid", "text").mapInArrow(made, "cid binary, shingles binary")
     return found.dropDuplicates(["cid"])
+
+
+def keep(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """The rows of docs whose doc_id stands for its component, once each; rows without doc_id stay, as nothing names them."""
+    ids = near_duplicates(docs, k, percent, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, quality, secrets, sharding, tokencount, urls, warc
+from . import decontam, licenses, neardup, packing, quality, secrets, sharding, tokencount, urls, warc
 from .common import parquet
 
 
@@ -36,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(parquet(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(parquet(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(decontam.find_hits(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark")))
 
@@ -57,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scans": secrets.SQL, "op4_quality_rules": quality.SQL, "op5_url_filters": urls.SQL}
+    return {"op1_secret_scans": secrets.SQL, "op4_quality_rules": quality.SQL, "op5_url_filters": urls.SQL, "op6_license_scans": licenses.SQL}
