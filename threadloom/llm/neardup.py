@@ -34,7 +34,7 @@ from .common import LOWER, gram_hashes, odd_numbers, signed, texts_of, word_hash
 SHINGLE, PERCENT = 5, 80
 COORDS, MISS = 32, 1e-6
 #: Hubs that a list may have in one round after the first.
-HUBS = 16
+HUBS = 64
 _ODD = odd_numbers(COORDS, 11)[:, None]
 _XOR = odd_numbers(COORDS, 13)[:, None]
 _AXIS = odd_numbers(COORDS, 17)
@@ -97,7 +97,7 @@ def _postings(classes: DataFrame) -> DataFrame:
 def star_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, comp): each node of the links (a, b) with the least node that it reaches.
 
-    Large-star and small-star steps in turn, each written, until the links no longer change.
+    Large-star and small-star steps in turn, written once a turn, until the links no longer change.
     """
     now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
@@ -105,11 +105,9 @@ def star_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(spark, large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        now = written(spark, small, "small-star")
+        small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = written(spark, small.union(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
@@ -151,7 +149,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     classes = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"))
     # a doc_id whose rows have different sets ties their classes
     ties = rows.where(F.col("cid").isNotNull() & F.col("doc_id").isNotNull()).join(classes, "cid").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = [ties]
+    links = ties
 
     one = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.first("sig").alias("sig"))
     postings = _postings(one)
@@ -173,35 +171,27 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     sets = written(spark, _sets(docs, reps, k, text), "sets")
     posts = written(spark, posts.join(reps, "cid").select("cid", "rep", "weight", "token", F.col("rep").alias("comp")).where("rep is not null"), "lists")
 
-    tried, first = None, True
+    # first round: the hub of each list; then those outside the list's largest component
+    hubs = posts.groupBy("token").agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.expr("-1 * xxhash64(cid)"))).alias("h")).select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp"))
     while True:
-        if first:
-            hubs = posts.groupBy("token").agg(F.max_by("cid", F.struct("weight", F.expr("-1 * xxhash64(cid)"))).alias("hub")).join(posts.select("token", F.col("cid").alias("hub"), F.col("comp").alias("hub_comp")), ["token", "hub"])
-        else:
-            sizes = posts.groupBy("token", "comp").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
-            minor = posts.join(largest, "token").where(F.col("comp") != F.col("most"))
-            hubs = minor.groupBy("token", F.pmod(F.xxhash64("cid"), F.lit(HUBS)).alias("slot")).agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.xxhash64("cid"))).alias("h")).select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp"))
         hubs = written(spark, hubs, "hubs")
         met = posts.join(hubs, "token").where((F.col("cid") != F.col("hub")) & (F.col("comp") != F.col("hub_comp"))).select(F.greatest("cid", "hub").alias("x"), F.least("cid", "hub").alias("y")).distinct()
-        if tried is not None:
-            met = met.join(tried, ["x", "y"], "left_anti")
-        judged = written(spark, _confirmed(met, sigs, sets, matches, percent), "judged")
-        failed = judged.where(~F.col("linked")).select("x", "y")
-        tried = failed if tried is None else tried.union(failed)
+        judged = _confirmed(met, sigs, sets, matches, percent).where("linked")
         name = lambda key, to: reps.select(F.col("cid").alias(key), F.col("rep").alias(to))
-        links.append(judged.where("linked").join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b"))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        comps = written(spark, star_components(spark, edges), "components")
+        links = links.union(judged.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b"))
+        comps = written(spark, star_components(spark, links), "components")
+        links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
         # a hub has met all of its list; lists within one component are done
-        left = posts.drop("comp").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        left = posts.select("cid", "rep", "weight", "token").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         left = left.join(hubs.select("token", F.col("hub").alias("cid")), ["token", "cid"], "left_anti")
-        open_ = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        posts = written(spark, left.join(open_, "token").select("cid", "rep", "weight", "token", "comp"), "lists")
-        first = False
-        if posts.isEmpty():
+        sizes = left.groupBy("token", "comp").agg(F.count("*").alias("n"))
+        lists = sizes.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
+        posts = written(spark, left.join(lists, "token").select("cid", "rep", "weight", "token", "comp", "most", "minor"), "lists")
+        minor = posts.where("comp <> most")
+        few, many = minor.where(F.col("minor") <= HUBS).select("token", F.col("cid").alias("hub"), F.col("comp").alias("hub_comp")), minor.where(F.col("minor") > HUBS)
+        some = many.groupBy("token", F.pmod(F.xxhash64("cid"), F.lit(HUBS)).alias("slot")).agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.xxhash64("cid"))).alias("h"))
+        hubs = few.union(some.select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp")))
+        if minor.isEmpty():
             break
 
     named = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("cid", F.coalesce("comp", "rep").alias("comp"))
