@@ -33,11 +33,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing."""
     path = fresh_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

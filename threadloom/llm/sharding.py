@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, written
 
-SHARDS, OLD_SHARDS, BLOCKS = 24, 16, 512
+SHARDS, OLD_SHARDS, BLOCKS = 24, 16, 1024
 ROW_BYTES = 8
-#: Rows of a shard that one task of the rewrite holds, about.
-SLOT_RUN = 100_000
 
 
 def min_cost_flow(sizes: list[int], capacities: list[int]) -> dict[tuple[int, int], int]:
@@ -130,7 +128,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, blocks: in
     kept = [c for c in docs.columns if c.lower() not in {"size", "old_shard", "shard", "slot", "_block", "_row"}]
     row = F.monotonically_increasing_id()
     rows = docs.select(*kept, sizes_of(F.col(text)).alias("size"), old_shard.alias("old_shard"), row.alias("_row"))
-    rows = written(spark, rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")), "rows")
+    rows = written(spark, rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")), "rows", "zstd")
     by_block = rows.groupBy("old_shard", "_block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()  # old shards x blocks at most
     total = sum(r["bytes"] for r in by_block)
     capacities = [total // shards + (j < total % shards) for j in range(shards)]
@@ -146,11 +144,13 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS, blocks: in
 
 
 def rewrite(spark: SparkSession, rows: DataFrame, path: str, affected: list[int] | None = None) -> DataFrame:
-    """Writes the shards to path/shard=N and reads them; affected: only these, the others are left as they are."""
+    """Writes the shards to path/shard=N and reads them; affected: only these, the others are left as they are.
+
+    reshard() has brought the rows of a block together, so each task writes whole blocks; text is shuffled once.
+    """
     if affected is not None:
         rows = rows.where(F.col("shard").isin(affected))
-    dealt = rows.repartition("shard", F.floor(F.col("slot") / SLOT_RUN)).sortWithinPartitions("shard", "slot")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
     return spark.read.parquet(path)
 
 
