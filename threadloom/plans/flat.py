@@ -257,10 +257,10 @@ def unchanged_fingerprint(spark, sf_dir):
     return f.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@_query("SELECT event_id FROM events WHERE ts::DATE >= DATE '2024-01-05' - INTERVAL 9 DAY")
+@_query("SELECT event_id FROM events WHERE ts::DATE >= DATE '2024-01-24' - INTERVAL 9 DAY")
 def recent_bundle(spark, sf_dir):
     """Nine days back from a fixed day, by date."""
-    return _table(spark, sf_dir, "events").where(F.to_date("ts") >= F.date_sub(F.lit("2024-01-05").cast("date"), 9)).select("event_id")
+    return _table(spark, sf_dir, "events").where(F.to_date("ts") >= F.date_sub(F.lit("2024-01-24").cast("date"), 9)).select("event_id")
 
 
 @_query(f"WITH {_M}, c AS (SELECT conversation_id, max(turn) AS last_turn, count(*) AS message_count FROM m GROUP BY ALL) SELECT * FROM c ORDER BY last_turn DESC NULLS LAST, conversation_id LIMIT 10")
