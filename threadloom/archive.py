@@ -11,19 +11,25 @@ import contextlib
 import json
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .operators import merge, normalize
 from .sources.export import SCHEMA, read_exports
 
 VERSION = 2
-BUCKETS = 16
+BUCKETS, WRITERS = 16, 4
 TABLES = ("conversations", "conversation_runs", "nodes", "node_children", "messages", "message_runs", "links", "attachments", "tool_calls", "tool_results", "message_index")
 
 
+#: Schemas of the tables, as merge gives them.
+_known: dict[str, StructType] = {}
+
+
 class ArchiveError(RuntimeError):
     pass
 
@@ -77,11 +83,11 @@ class Archive:
             os.unlink(path)
 
     def _schemas(self) -> dict:
-        if not hasattr(self, "_known"):
-            empty = self.spark.createDataFrame([], SCHEMA)
-            snaps = normalize.snapshots(empty, "")
-            self._known = {n: df.schema for n, df in merge.merge({}, snaps, "", "").items()}
-        return self._known
+        if not _known:
+            snaps = normalize.snapshots(self.spark.createDataFrame([], SCHEMA), "")
+            empty = self.spark.createDataFrame([], snaps.schema)
+            _known.update({n: df.schema for n, df in merge.merge({}, normalize.entities(empty), "", "").items()})
+        return _known
 
     def table(self, name: str, buckets: set[int] | None = None, manifest: dict | None = None) -> DataFrame:
         """The table as the manifest has it; buckets: only these."""
@@ -105,15 +111,21 @@ class Archive:
         manifest = self.manifest()
         version = manifest["version"] + 1
         known = self._schemas()
-        for name, df in tables.items():
+        folder = f"v={version}-{uuid.uuid4().hex[:8]}"
+
+        def put(name: str) -> None:
             key = "id" if name == "conversations" else "conversation_id"
-            out = f"v={version}-{uuid.uuid4().hex[:8]}/{name}"
-            df.select(*known[name].fieldNames(), F.pmod(F.xxhash64(key), F.lit(manifest["buckets"])).cast("int").alias("_bucket")).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{out}")
+            rows = tables[name].select(*known[name].fieldNames(), F.pmod(F.xxhash64(key), F.lit(manifest["buckets"])).cast("int").alias("_bucket"))
+            rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}/{name}")
+
+        with ThreadPoolExecutor(WRITERS) as pool:  # tables are independent jobs
+            list(pool.map(put, tables))
+        for name in tables:
             files = manifest["tables"].setdefault(name, {})
             for b in buckets:
                 files.pop(str(b), None)
-                if os.path.isdir(f"{self.root}/{out}/_bucket={b}"):
-                    files[str(b)] = f"{out}/_bucket={b}"
+                if os.path.isdir(f"{self.root}/{folder}/{name}/_bucket={b}"):
+                    files[str(b)] = f"{folder}/{name}/_bucket={b}"
         if run:
             manifest["runs"].append(run)
         manifest["version"] = version
@@ -133,11 +145,14 @@ class Archive:
             if errors:
                 return {"status": "failed", "run_id": run_id, "errors": errors, "stats": {}}
             snaps = normalize.snapshots(decoded, run_id)
-            stats = merge.counts(snaps)
+            snaps.write.parquet(f"{staged}-snapshots")  # each entity starts from these rows
+            snaps = self.spark.read.schema(snaps.schema).parquet(f"{staged}-snapshots")
+            new = normalize.entities(snaps)
+            stats = merge.counts(new)
             touched = {r[0] for r in decoded.where("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(manifest["buckets"])).cast("int")).distinct().collect()}  # at most as many as there are buckets
             old = {n: self.table(n, touched, manifest) for n in TABLES} if manifest["tables"] else {}
             run = {"run_id": run_id, "source": ", ".join(s["path"] for s in sources), "started_at": started, "finished_at": now_iso(), "stats": stats}
-            self.write(merge.merge(old, snaps, run_id, started), touched, run)
+            self.write(merge.merge(old, new, run_id, started, f"{staged}-folded"), touched, run)
             return {"status": "success", "run_id": run_id, "errors": [], "stats": stats}
 
     def dump(self, target: str) -> None:

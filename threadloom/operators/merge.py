@@ -63,14 +63,19 @@ def _empty_like(df: DataFrame, drop: tuple[str, ...]) -> DataFrame:
     return df.drop(*drop).where("false")
 
 
-def merge(archive: dict[str, DataFrame], snaps: DataFrame, run_id: str, imported_at: str) -> dict[str, DataFrame]:
-    """The new tables of the conversations in snaps and archive; archive: as merge gave it, or empty."""
-    new = normalize.entities(snaps)
+def merge(archive: dict[str, DataFrame], new: dict[str, DataFrame], run_id: str, imported_at: str, staged: str | None = None) -> dict[str, DataFrame]:
+    """The new tables of the conversations in the run and the archive; new: the run's entities; archive: as merge gave it, or empty.
+
+    staged: where the fold's narrow result is written, as every table is made from it.
+    """
     convs = new["conversations"]
     old_convs = archive.get("conversations", convs.drop("seq").where("false"))
     state = lambda df, seq: df.select("id", seq.alias("seq"), recency().alias("ts"), F.col("message_count").alias("n"), F.col("source_fingerprint").alias("fp"))
     folded = fold(state(convs, F.col("seq")).union(state(old_convs, F.lit(-1).cast("long"))))
     stands = folded.select(F.col("id").alias("conversation_id"), "w", "before", "winners", "seen")
+    if staged:
+        stands.write.parquet(staged)
+        stands = convs.sparkSession.read.schema(stands.schema).parquet(staged)
     out: dict[str, DataFrame] = {}
 
     def candidates(name: str) -> DataFrame:
@@ -136,9 +141,8 @@ def index(messages: DataFrame) -> DataFrame:
     return said.select("conversation_id", F.col("id").alias("message_id"), "run_id", token_column(F.col("role")).alias("role"), token_column(F.col("text")).alias("text"))
 
 
-def counts(snaps: DataFrame) -> dict[str, int]:
+def counts(new: dict[str, DataFrame]) -> dict[str, int]:
     """What the run has brought, whether it changed anything or not."""
-    new = normalize.entities(snaps)
     names = ("conversations", "messages", "links", "attachments", "tool_calls", "tool_results")
     rows = reduce(DataFrame.union, (new[n].select(F.lit(n).alias("name")) for n in names)).groupBy("name").count().collect()
     return {n: 0 for n in names} | {r["name"]: r["count"] for r in rows}
