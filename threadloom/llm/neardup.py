@@ -7,9 +7,15 @@
    rarest COORDS - matches + 1 postings of a class are enough to meet: the prefix. The longest lists are
    skipped and only counted when a met pair is compared coordinate by coordinate.
 3. Within a list no all-pairs are made. Its most connected class, the hub, is compared with the others; what
-   links is merged into components, and a list whose classes share a component is done. In the others the
-   classes outside the largest component become hubs, a bounded number a round, until every pair of a list
-   lies in one component or has been compared. So components are whole, however large the group.
+   links is merged into components, and a list whose classes share a component is done. If at most HUBS classes
+   lie outside the largest component, they are compared with the list. Otherwise the list is centred on a set V,
+   the shingles that most of SAMPLE of its classes have (any set gives right results, a good one short lists):
+   x and y can reach the threshold only if they share shingles that V lacks, at least percent * |x| - |x & V| of
+   them, or if the smaller of |x & V| and |y & V| alone could reach it. So x is posted anew under a prefix of the
+   shingles of x - V; all are compared with the class nearest to V, and then the pairs of the other kind unless one
+   component has both; the new lists, each at most about half as long, go the same way. After DEPTH centrings, HUBS classes of what is left of a
+   list are compared with it a round. So components are whole, however large the group is, and copies with many
+   edits each cost their own differences, not a comparison with all others.
 4. A met pair with enough equal coordinates is confirmed on the full sets.
 
 Texts without words, and null texts, have an empty set and no links. Equal rows are one class. Rows with
@@ -21,6 +27,7 @@ the smaller digest. Other columns are not read. An empty table gives an empty re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -29,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, gram_hashes, odd_numbers, signed, texts_of, word_hashes, written
+from .common import LOWER, gram_hashes, mixed, odd_numbers, signed, texts_of, word_hashes, written
 
 SHINGLE, PERCENT = 5, 80
 COORDS, MISS = 32, 1e-6
-#: Hubs that a list may have in one round after the first.
-HUBS = 64
+#: Classes outside a list's largest component that are compared with the whole list; centrings one after another.
+HUBS, DEPTH, SAMPLE = 16, 8, 33
 _ODD = odd_numbers(COORDS, 11)[:, None]
 _XOR = odd_numbers(COORDS, 13)[:, None]
 _AXIS = odd_numbers(COORDS, 17)
@@ -114,31 +121,72 @@ def star_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """pairs (x, y) that have enough equal coordinates, with `linked`: whether their full sets reach the threshold."""
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """The pairs (x, y) that have enough equal coordinates and whose full sets reach the threshold."""
 
     @F.arrow_udf("int")
     def equal(a: pa.Array, b: pa.Array) -> pa.Array:
-        get = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, COORDS)
+        get = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDS)
         return pa.array((get(a) == get(b)).sum(axis=1).astype(np.int32)) if len(a) else pa.array([], pa.int32())
 
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            n = 0
-            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-            out.append(100 * n >= percent * (len(x) + len(y) - n))
-        return pa.array(out, pa.bool_())
+        return pa.array([_reaches(x, y, percent) for x, y in _arrays(a, b)], pa.bool_())
 
     side = lambda t, key, col, name: t.select(F.col("cid").alias(key), F.col(col).alias(name))
-    near = pairs.join(side(sigs, "x", "sig", "sx"), "x").join(side(sigs, "y", "sig", "sy"), "y").where(equal("sx", "sy") >= matches).select("x", "y")
+    near = pairs.join(side(sketches, "x", "sketch", "sx"), "x").join(side(sketches, "y", "sketch", "sy"), "y").where(equal("sx", "sy") >= matches).select("x", "y")
     both = near.join(side(sets, "y", "shingles", "by"), "y").join(side(sets, "x", "shingles", "bx"), "x")
-    return both.select("x", "y", linked("bx", "by").alias("linked"))
+    return both.where(linked("bx", "by")).select("x", "y")
+
+
+def _arrays(*columns: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    for values in zip(*columns):
+        yield tuple(np.frombuffer(v.as_buffer(), np.uint64) for v in values)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    n = _common(x, y)
+    return 100 * n >= percent * (len(x) + len(y) - n)
+
+
+def own_shingles(x: np.ndarray, centre: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """How many shingles x has of the centre, and the prefix, by hash, of those that the centre lacks."""
+    own = np.setdiff1d(x, centre, assume_unique=True)
+    n = len(x) - len(own)
+    least = max(1, -(-percent * len(x) // 100) - n)
+    return n, own[: max(0, len(own) - least + 1)]
+
+
+def _centred(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (family, cid, rep, weight, comp) with n (shingles of the centre), size and own."""
+
+    @F.arrow_udf("binary")
+    def centre(samples: pa.Array) -> pa.Array:
+        out = []
+        for own in samples:
+            own = [np.frombuffer(v.as_buffer(), np.uint64) for v in own.values]
+            values, n = np.unique(np.concatenate(own), return_counts=True)
+            out.append(values[2 * n > len(own)].tobytes())
+        return pa.array(out, pa.binary())
+
+    @F.arrow_udf("struct<n:int,size:int,own:array<long>>")
+    def parted(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = [(len(x), *own_shingles(x, v, percent)) for x, v in _arrays(a, b)]
+        ints = lambda i: pa.array([o[i] for o in out], pa.int32())
+        return pa.StructArray.from_arrays([ints(1), ints(0), pa.array([signed(o[2]) for o in out], pa.list_(pa.int64()))], ["n", "size", "own"])
+
+    sampled = members.groupBy("family", F.pmod(F.xxhash64("cid"), F.lit(SAMPLE)).alias("slot")).agg(F.min("cid").alias("cid"))
+    centres = sampled.join(sets, "cid").groupBy("family").agg(F.collect_list("shingles").alias("s")).select("family", centre("s").alias("centre"))
+    both = members.join(centres, "family").join(sets, "cid")
+    return both.select("family", "cid", "rep", "weight", "comp", parted("shingles", "centre").alias("p")).select("family", "cid", "rep", "weight", "comp", "p.*")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -166,32 +214,63 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     lists = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     posts = posts.join(lists, "token")
     active = posts.select("cid").distinct()
-    reps = classes.join(active, "cid")
-    sigs = written(spark, one.join(active, "cid"), "active-signatures")
+    reps = written(spark, classes.join(active, "cid").where("rep is not null"), "active")
+    sketches = written(spark, _sketches(one.join(active, "cid")), "sketches")
     sets = written(spark, _sets(docs, reps, k, text), "sets")
-    posts = written(spark, posts.join(reps, "cid").select("cid", "rep", "weight", "token", F.col("rep").alias("comp")).where("rep is not null"), "lists")
+    posts = written(spark, posts.join(reps, "cid").select("cid", "rep", "weight", "token", F.col("rep").alias("comp")), "lists")
+
+    def first_hub(posts: DataFrame) -> DataFrame:
+        best = F.max_by(F.struct("cid", "comp"), F.struct("weight", F.expr("-1 * xxhash64(cid)")))
+        return posts.groupBy("token").agg(best.alias("h")).select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp"))
 
-    # first round: the hub of each list; then those outside the list's largest component
-    hubs = posts.groupBy("token").agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.expr("-1 * xxhash64(cid)"))).alias("h")).select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp"))
+    def paired(a: str, b: str) -> list:
+        return [F.greatest(a, b).alias("x"), F.least(a, b).alias("y")]
+
+    hubs, more, parted, depth = first_hub(posts), None, None, 0
     while True:
         hubs = written(spark, hubs, "hubs")
-        met = posts.join(hubs, "token").where((F.col("cid") != F.col("hub")) & (F.col("comp") != F.col("hub_comp"))).select(F.greatest("cid", "hub").alias("x"), F.least("cid", "hub").alias("y")).distinct()
-        judged = _confirmed(met, sigs, sets, matches, percent).where("linked")
+        met = posts.join(hubs, "token").where((F.col("cid") != F.col("hub")) & (F.col("comp") != F.col("hub_comp"))).select(*paired("cid", "hub"))
+        met = (met if more is None else met.union(more)).distinct()
+        judged = _confirmed(met, sketches, sets, matches, percent)
         name = lambda key, to: reps.select(F.col("cid").alias(key), F.col("rep").alias(to))
         links = links.union(judged.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b"))
         comps = written(spark, star_components(spark, links), "components")
-        links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+        links, more = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")), None
+        known = comps.select(F.col("id").alias("rep"), "comp")
         # a hub has met all of its list; lists within one component are done
-        left = posts.select("cid", "rep", "weight", "token").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        left = _renewed(posts.select("cid", "rep", "weight", "token"), known)
         left = left.join(hubs.select("token", F.col("hub").alias("cid")), ["token", "cid"], "left_anti")
         sizes = left.groupBy("token", "comp").agg(F.count("*").alias("n"))
         lists = sizes.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
         posts = written(spark, left.join(lists, "token").select("cid", "rep", "weight", "token", "comp", "most", "minor"), "lists")
-        minor = posts.where("comp <> most")
-        few, many = minor.where(F.col("minor") <= HUBS).select("token", F.col("cid").alias("hub"), F.col("comp").alias("hub_comp")), minor.where(F.col("minor") > HUBS)
-        some = many.groupBy("token", F.pmod(F.xxhash64("cid"), F.lit(HUBS)).alias("slot")).agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.xxhash64("cid"))).alias("h"))
-        hubs = few.union(some.select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp")))
-        if minor.isEmpty():
+        pairs = [] if parted is None else [_by_centre(_renewed(parted, known), percent).select(*paired("cid", "other"))]
+        parted = None
+        if posts.isEmpty():
+            hubs = hubs.where("false")
+        else:
+            few = posts.where((F.col("comp") != F.col("most")) & (F.col("minor") <= HUBS)).select("token", F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
+            many = posts.where(F.col("minor") > HUBS)
+            if many.isEmpty():
+                hubs = few
+            elif depth >= DEPTH:
+                some = many.where("comp <> most").groupBy("token", F.pmod(F.xxhash64("cid"), F.lit(HUBS)).alias("slot")).agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.xxhash64("cid"))).alias("h"))
+                hubs = few.union(some.select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp")))
+            else:
+                # lists with one hub are one family at first, as near copies share most of their lists
+                key = F.xxhash64("hub") if depth == 0 else F.col("token")
+                members = many.join(hubs.select("token", "hub"), "token").select(key.alias("family"), "cid", "rep", "weight", "comp").distinct()
+                parted = written(spark, _centred(members, sets, percent), "centred")
+                # the class nearest to the centre links most of those near it, before they are paired
+                nearest = parted.groupBy("family").agg(F.min_by(F.struct("cid", "comp"), F.struct(F.col("size") - 2 * F.col("n"), "cid")).alias("b")).select("family", F.col("b.cid").alias("other"), F.col("b.comp").alias("ocomp"))
+                pairs.append(parted.join(nearest, "family").where("comp <> ocomp").select(*paired("cid", "other")))
+                own = parted.select("family", "cid", "rep", "weight", "comp", F.explode("own").alias("e")).select("cid", "rep", "weight", F.xxhash64("family", "e").alias("token"), "comp")
+                several = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+                own = written(spark, own.join(several, "token", "left_semi").select("cid", "rep", "weight", "token", "comp"), "own")
+                posts = posts.where(F.col("minor") <= HUBS).select("cid", "rep", "weight", "token", "comp").union(own)
+                hubs = few.union(first_hub(own))
+        depth += 1
+        more = written(spark, reduce(DataFrame.union, pairs).distinct(), "partners") if pairs else None
+        if posts.isEmpty() and parted is None and (more is None or more.isEmpty()):
             break
 
     named = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("cid", F.coalesce("comp", "rep").alias("comp"))
@@ -199,6 +278,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, t
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _renewed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with the components that are known now."""
+    return rows.drop("comp").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def _by_centre(family: DataFrame, percent: int) -> DataFrame:
+    """(cid, other) of different components whose shingles of the centre alone could make them reach the threshold."""
+    hundred, p = 100 + percent, percent
+    sizes = family.groupBy("family", "comp").agg(F.count("*").alias("c"), F.min("size").alias("least"))
+    sizes = sizes.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.min("least").alias("least"))
+    able = family.join(sizes, "family").where(hundred * F.col("n") >= p * (F.col("size") + F.col("least")))
+    able = able.select("family", "cid", "n", "size", "comp", "most")
+    minor = able.where("comp <> most").select("family", F.col("cid").alias("other"), F.col("n").alias("on"), F.col("size").alias("osize"), F.col("comp").alias("ocomp"))
+    both = able.join(minor, "family").where((F.col("comp") != F.col("ocomp")) & (hundred * F.least("n", "on") >= p * (F.col("size") + F.col("osize"))))
+    return both.select("cid", "other")
+
+
+def _sketches(classes: DataFrame) -> DataFrame:
+    """(cid, sketch): a byte of each coordinate. Equal coordinates have equal bytes, so no pair is lost."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint64).reshape(-1, COORDS)
+            yield pa.RecordBatch.from_arrays([batch["cid"], pa.array([x.tobytes() for x in (mixed(sig) >> np.uint64(56)).astype(np.uint8)], pa.binary())], ["cid", "sketch"])
+
+    return classes.select("cid", "sig").mapInArrow(made, "cid binary, sketch binary")
+
+
 def _sets(docs: DataFrame, reps: DataFrame, k: int, text: str) -> DataFrame:
     """(cid, shingles) of the classes in reps, from the text of one row each."""
 
@@ -213,7 +320,7 @@ def _sets(docs: DataFrame, reps: DataFrame, k: int, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    found = reps.where("rep is not null").join(texts, "rep").select("cid", "text").mapInArrow(made, "cid binary, shingles binary")
+    found = reps.join(texts, "rep").select("cid", "text").mapInArrow(made, "cid binary, shingles binary")
     return found.dropDuplicates(["cid"])
 
 
