@@ -223,9 +223,9 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int, text:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind), pa.array([x or [] for x in ids.to_pylist()], pa.list_(pa.string()))], list(_ADDED))
 
-    kept = [c for c in docs.columns if c.lower() not in {*_ADDED, "_hits", "key", "_key"}]
-    joined = docs.withColumn("_key", key).join(by_text.select(F.col("key").alias("_key"), F.col("at").alias("_at"), F.col("ids").alias("_ids")), "_key", "left")
-    return joined.select(*kept, judged(F.col(text).cast("string"), "_at", "_ids").alias("_hits")).select(*kept, *(F.col(f"_hits.{c}").alias(c) for c in _ADDED))
+    kept = [c for c in docs.columns if c.lower() not in {*_ADDED, "_hits"}]
+    joined = docs.withColumn("__text", key).join(by_text.select(F.col("key").alias("__text"), F.col("at").alias("__at"), F.col("ids").alias("__ids")), "__text", "left")
+    return joined.select(*kept, judged(F.col(text).cast("string"), "__at", "__ids").alias("_hits")).select(*kept, *(F.col(f"_hits.{c}").alias(c) for c in _ADDED))
 
 
 #: Hit words of a contaminated text, in hundredths of all its words.

@@ -1,6 +1,6 @@
 """Licence scans by canonical digest.
 
-A text is brought to a canonical form (lower case, copyright lines and punctuation gone, equivalent spellings
+A text is brought to a canonical form (A-Z to lower case, copyright lines and punctuation gone, equivalent spellings
 made equal, white space to single spaces) and its SHA-256 is joined with the digests of known licences in
 the same form, with and without their titles. Only whole texts match; a notice inside other text does not.
 
@@ -40,9 +40,12 @@ KNOWN = {
 }
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def canonical(text: str) -> str:
     """The canonical form in Python, for the known licences; columns use canonical_column."""
-    lines = [x for x in text.lower().split("\n") if not re.search(COPYRIGHT, x)]
+    lines = [x for x in text.translate(str.maketrans(_UPPER, _LOWER)).split("\n") if not re.search(COPYRIGHT, x)]
     out = re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", "\n".join(lines)).strip(" ")
     for a, b in SPELLINGS:
         out = out.replace(a, b)
@@ -50,7 +53,7 @@ def canonical(text: str) -> str:
 
 
 def canonical_column(text: Column) -> Column:
-    lines = F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(COPYRIGHT))
+    lines = F.filter(F.split(F.translate(text, _UPPER, _LOWER), "\n"), lambda x: ~x.rlike(COPYRIGHT))
     out = F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"[^a-z0-9\x{80}-\x{10ffff}]+", " "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -72,7 +75,7 @@ def scan(docs: DataFrame, text: str = "text", known: dict[str, tuple[str, str]]
 
 
 def _sql() -> str:
-    spelt = "trim(regexp_replace(array_to_string(list_filter(string_split(lower(coalesce(text, '')), chr(10)), lambda x: NOT regexp_matches(x, '" + COPYRIGHT + r"')), chr(10)), '[^a-z0-9\x{80}-\x{10ffff}]+', ' ', 'g'))"
+    spelt = "trim(regexp_replace(array_to_string(list_filter(string_split(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + "'), chr(10)), lambda x: NOT regexp_matches(x, '" + COPYRIGHT + r"')), chr(10)), '[^a-z0-9\x{80}-\x{10ffff}]+', ' ', 'g'))"
     for a, b in SPELLINGS:
         spelt = f"replace({spelt}, '{a}', '{b}')"
     values = ", ".join(f"('{d}', '{n}')" for d, n in known_digests())

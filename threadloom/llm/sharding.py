@@ -151,7 +151,7 @@ def rewrite(spark: SparkSession, rows: DataFrame, path: str, affected: list[int]
     if affected is not None:
         rows = rows.where(F.col("shard").isin(affected))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def affected_shards(rows: DataFrame) -> list[int]:
