@@ -10,6 +10,18 @@ ONE = [("user", "Hello world")]
 THREE = [("user", "Hello world"), ("assistant", "Hi there"), ("user", "More please")]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_plans(spark):
+    """Archives of a few rows: plans are interpreted, as compiling them would take most of the time."""
+    conf = {"spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture
 def put(spark, tmp_path):
     archive = Archive(spark, str(tmp_path / "archive"), buckets=4)

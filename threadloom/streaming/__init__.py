@@ -13,7 +13,7 @@ def watch(spark: SparkSession, folder: str, archive: Archive, checkpoint: str, a
     The batch's number is the run's id, so a batch that is replayed after a failure is skipped; a late, older
     snapshot never replaces a newer one, so no watermark is needed. Only paths are collected, a batch's files.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select("path")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.json").load(folder).select("path")
 
     def ingest(batch: DataFrame, number: int) -> None:
         paths = sorted(r["path"].removeprefix("file:") for r in batch.collect())
