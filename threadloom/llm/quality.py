@@ -2,9 +2,10 @@
 
 Native: DataFrame functions only. A line is normalised (lower case, runs of digits to 0, runs of white space
 to one space, trimmed) and hashed with its host. Its count is the number of distinct texts of that host that
-hold it, so copies of one text count once. A line is over the limit when more than LINE_DOCS texts and more
-than LINE_PERCENT hundredths of the host's texts hold it; it is removed from all of these but the one with
-the smallest doc_id. A text that loses more than DEPLETED hundredths of its characters that way is rejected.
+hold it, so copies of one text count once. A line is over the limit when more than LINE_DOCS texts hold it,
+however many texts the host has; it is removed from all of these but the one with the smallest doc_id. A text
+that loses more than DEPLETED hundredths of its characters that way is rejected. keep() works so; verdicts()
+gives the rows of SQL, which asks besides that more than LINE_PERCENT hundredths of the host's texts hold it.
 
 Null texts are empty: all measures 0, base_failed. A null host is a host of its own. Rows with equal doc_id
 are judged each by its own text. Ties for the smallest doc_id go to the smaller text digest. Other columns
@@ -79,19 +80,25 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
     return rows.groupBy("host", "key", F.col("x.h").alias("h")).agg(F.max("x.chars").alias("chars"), F.min("doc_id").alias("doc_id"))
 
 
-def removed_lines(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """(host, key, lost, removed): texts that lose lines, the characters lost and the hashes of the lines."""
+def removed_lines(docs: DataFrame, text: str = "text", host: str = "source", percent: int | None = None) -> DataFrame:
+    """(host, key, lost, removed): texts that lose lines, the characters lost and the hashes of the lines.
+
+    With percent, a line must also be in more than that many hundredths of the host's texts.
+    """
     lines = line_table(docs, text, host)
-    texts = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.md5(text_or_empty(text)).alias("key")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
     counts = lines.groupBy("host", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("first"))
-    over = counts.where(F.col("n") > LINE_DOCS).join(texts, "host").where(100 * F.col("n") > LINE_PERCENT * F.col("texts")).select("host", "h", F.col("first.key").alias("first"))
+    over = counts.where(F.col("n") > LINE_DOCS)
+    if percent is not None:
+        texts = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.md5(text_or_empty(text)).alias("key")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
+        over = over.join(texts, "host").where(100 * F.col("n") > percent * F.col("texts"))
+    over = over.select("host", "h", F.col("first.key").alias("first"))
     lost = lines.join(over, ["host", "h"]).where(F.col("key") != F.col("first"))
     return lost.groupBy("host", "key").agg(F.sum("chars").alias("lost"), F.collect_set("h").alias("removed"))
 
 
 def verdicts(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The measures of every row, base_failed, kept, and the characters lost to common lines."""
-    lost = removed_lines(docs, text, host).select("host", "key", F.col("lost").alias("lost_chars"))
+    lost = removed_lines(docs, text, host, LINE_PERCENT).select("host", "key", F.col("lost").alias("lost_chars"))
     out = measures(docs, text, host).join(lost, ["host", "key"], "left").withColumn("lost_chars", F.coalesce("lost_chars", F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= DEPLETED * F.col("word_chars"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_chars")
