@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import quality
+from threadloom.llm import quality, urls
 
 
 def test_a_common_line_of_a_large_host_is_cut_out(spark):
@@ -14,3 +14,24 @@ def test_a_common_line_of_a_large_host_is_cut_out(spark):
     left = {r["doc_id"]: r["text"] for r in quality.keep(df).collect()}
     assert sorted(left) == list(range(401))
     assert [i for i, t in left.items() if i < 400 and "letter" in t] == [0]
+
+
+def _rejected(spark, rows):
+    df = spark.createDataFrame([(u, x) for u, x in rows], "url string, label int")
+    host, path = urls.split_url(F.col("url"))
+    return sorted(r["shape"] for r in urls.judged_templates(df.select(host.alias("host"), urls.general(path).alias("shape"), "label")).collect())
+
+
+def test_deep_segments_become_wildcards(spark):
+    """Slugs in the fourth and in the sixth segment: the unlabelled ones go with their siblings."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"http://h.x/shop/a/b/{c}", 1 if i < 24 else None) for i, c in enumerate(letters)]
+    rows += [(f"http://h.x/blog/a/b/c/d/{c}/e", 1 if i < 24 else None) for i, c in enumerate(letters)]
+    rows += [(f"http://h.x/read/a/b/{c}", 0) for c in letters] + [("http://h.x/read/a/c/d/e/f", None), ("http://h.x", None)]
+    assert _rejected(spark, rows) == sorted([f"/shop/a/b/{c}" for c in letters] + [f"/blog/a/b/c/d/{c}/e" for c in letters])
+
+
+def test_deep_branches_merge_from_the_leaves_up(spark):
+    """Too few labels in each parent of leaves, enough in the branch of the second segment."""
+    rows = [(f"http://h.x/shop/a/{p}/{q}/z", 1) for p in "bcde" for q in "uv" for _ in range(4)] + [("http://h.x/shop/b/c/d/e", 0)]
+    assert _rejected(spark, rows) == sorted(f"/shop/a/{p}/{q}/z" for p in "bcde" for q in "uv")
