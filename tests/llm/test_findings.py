@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import quality, urls
+from threadloom.llm import licenses, quality, urls
 
 
 def test_a_common_line_of_a_large_host_is_cut_out(spark):
@@ -35,3 +35,17 @@ def test_deep_branches_merge_from_the_leaves_up(spark):
     """Too few labels in each parent of leaves, enough in the branch of the second segment."""
     rows = [(f"http://h.x/shop/a/{p}/{q}/z", 1) for p in "bcde" for q in "uv" for _ in range(4)] + [("http://h.x/shop/b/c/d/e", 0)]
     assert _rejected(spark, rows) == sorted(f"/shop/a/{p}/{q}/z" for p in "bcde" for q in "uv")
+
+
+UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>"
+
+
+def test_usual_licences_are_known(spark):
+    """Long licences are digests only: one by its text, the others by the table; usual titles and lists of short ones."""
+    body = {k: b for k, (_, b) in licenses.KNOWN.items()}
+    stars = body["BSD-3-Clause"].replace(" 1. ", "\n\n* ").replace(" 2. ", "\n\n* ").replace(" 3. ", "\n\n* ")
+    texts = [UNLICENSE, "The Unlicense\n\n" + UNLICENSE, "The MIT License (MIT)\n\nCopyright (c) 2015 A\n\n" + body["MIT"], stars, "3-Clause BSD License\n" + stars, "The ISC License\n\n" + body["ISC"], UNLICENSE + " And more.", "The MIT License (MIT)"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["license"] for r in rows] == ["Unlicense", "Unlicense", "MIT", "BSD-3-Clause", "BSD-3-Clause", "ISC", None, None]
+    known = dict(licenses.all_digests())
+    assert set(licenses.known_digests()) <= set(known.items()) and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0"} <= set(known.values())

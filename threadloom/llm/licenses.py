@@ -3,6 +3,10 @@
 A text is brought to a canonical form (A-Z to lower case, copyright lines and punctuation gone, equivalent spellings
 made equal, white space to single spaces) and its SHA-256 is joined with the digests of known licences in
 the same form, with and without their titles. Only whole texts match; a notice inside other text does not.
+SQL holds KNOWN in one title and wording each; the scan knows besides their usual titles, list markers and
+wordings (TITLES, LISTS, WORDINGS) and the digests of long licences (license_digests.py). Where no text is one of
+these, its rows are those of SQL. AGPL, CC licences other than CC0 and BY-SA 4.0, and BSD texts that name another
+holder in their last clause are not known and come out null.
 
 Null texts are empty and match nothing. Rows with equal doc_id are judged each by itself. The table of known
 licences is a short literal and is broadcast; other columns are not read. An empty table gives no rows.
@@ -17,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .license_digests import DIGESTS
 
 SPELLINGS = (
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("favour", "favor"), ("behaviour", "behavior"),
@@ -40,6 +45,26 @@ KNOWN = {
 }
 
 
+#: Other titles of KNOWN; each also with The before it.
+TITLES = {
+    "MIT": ("MIT License", "MIT License (MIT)", "MIT", "Expat License", "MIT (Expat) License", "Expat (MIT) License"),
+    "ISC": ("ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "Zero Clause BSD License (0BSD)", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "BSD-2-Clause", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "FreeBSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License"),
+    "Zlib": ("zlib License", "zlib License (Zlib)", "zlib/libpng License", "Zlib"),
+}
+#: What stands before the conditions in place of 1. 2. 3.; bullets are punctuation and leave nothing.
+LISTS = (("1.", "2.", "3."), ("", "", ""), ("a.", "b.", "c."), ("i.", "ii.", "iii."))
+#: Wordings in use beside that of KNOWN: licence, what KNOWN says, what is said instead.
+WORDINGS = (
+    ("ISC", "modify, and/or distribute", "modify, and distribute"),
+    ("0BSD", "modify, and/or distribute", "modify, and distribute"),
+    ("BSD-2-Clause", "HOLDERS AND CONTRIBUTORS", "HOLDER AND CONTRIBUTORS"),
+    ("BSD-2-Clause", "HOLDER OR CONTRIBUTORS", "OWNER OR CONTRIBUTORS"),
+    ("BSD-3-Clause", "HOLDERS AND CONTRIBUTORS", "HOLDER AND CONTRIBUTORS"),
+    ("BSD-3-Clause", "nor the names of its contributors", "nor the names of contributors"),
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,9 +92,32 @@ def known_digests(known: dict[str, tuple[str, str]] | None = None) -> list[tuple
     return sorted(pairs.items())
 
 
+def _wordings(name: str, body: str) -> set[str]:
+    forms = {body}
+    for licence, usual, other in WORDINGS:
+        if licence == name:
+            forms |= {x.replace(usual, other) for x in forms}
+    listed = set()
+    for marks in LISTS:
+        for x in forms:
+            for usual, other in zip(LISTS[0], marks):
+                x = x.replace(f" {usual} ", f" {other} ")
+            listed.add(x)
+    return listed
+
+
+def all_digests() -> list[tuple[str, str]]:
+    """(digest, licence) of the known texts, of their usual titles and wordings, and of the long licences."""
+    pairs = {d: name for name, own in DIGESTS.items() for d in own}
+    for name, (_, body) in KNOWN.items():
+        titles = {"", *TITLES[name], *(f"The {x}" for x in TITLES[name])}
+        pairs |= {hashlib.sha256(canonical(f"{title}\n{form}").encode()).hexdigest(): name for title in titles for form in _wordings(name, body)}
+    return sorted((pairs | dict(known_digests())).items())
+
+
 def scan(docs: DataFrame, text: str = "text", known: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, digest of the canonical text, license (null unless the whole text is one)."""
-    table = docs.sparkSession.createDataFrame(known_digests(known), "digest string, license string")
+    table = docs.sparkSession.createDataFrame(known_digests(known) if known else all_digests(), "digest string, license string")
     rows = docs.select("doc_id", F.sha2(canonical_column(text_or_empty(text)), 256).alias("digest"))
     return rows.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license")
 
