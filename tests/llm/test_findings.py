@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.llm import licenses, quality, urls
+from threadloom.llm import licenses, quality, queries, tokencount, urls
 
 
 def test_a_common_line_of_a_large_host_is_cut_out(spark):
@@ -49,3 +49,11 @@ def test_usual_licences_are_known(spark):
     assert [r["license"] for r in rows] == ["Unlicense", "Unlicense", "MIT", "BSD-3-Clause", "BSD-3-Clause", "ISC", None, None]
     known = dict(licenses.all_digests())
     assert set(licenses.known_digests()) <= set(known.items()) and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0"} <= set(known.values())
+
+
+def test_token_table_is_of_all_partitions(spark):
+    """The first partition is one hot text; the words of the others are more frequent over the corpus."""
+    hot = spark.createDataFrame([(i, "alpha " * 400) for i in range(5)], "doc_id long, text string").coalesce(1)
+    rest = spark.createDataFrame([(i, "beta " * 300) for i in range(5, 65)], "doc_id long, text string").repartition(3)
+    table = tokencount._frequent(hot.union(rest), queries.tokenizer_path(), "text", 1000, 1)
+    assert list(table) == ["beta"]

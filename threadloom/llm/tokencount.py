@@ -2,8 +2,10 @@
 
 Tier one is a table of the most frequent pre-tokens and their lengths in tokens, broadcast to every worker;
 tier two is the worker's own bounded cache, filled by encoding what tier one lacks. Nothing is shuffled: a
-text is counted in the task that reads it. The table only saves work. A count never depends on it, so it is
-drawn from the first SAMPLE_WORDS words, and it holds at most TABLE_WORDS words (about 2 MB).
+text is counted in the task that reads it. The table only saves work; a count never depends on it. It is drawn
+from all partitions: each task counts its pre-tokens, dropping the rarer half whenever it holds SAMPLE_WORDS
+different ones, and sends its TASK_WORDS most frequent to the driver, which adds them up. The table
+holds at most TABLE_WORDS words (about 2 MB). Pre-tokens over WORD_LENGTH characters are left to tier two.
 
 Null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each by itself; other columns of the
 input, whatever their names, are not read. An empty table gives an empty result.
@@ -22,18 +24,38 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 from .tokenization import Encoder
 
-SAMPLE_WORDS, WORD_LENGTH, TABLE_WORDS, TOKEN_LIMIT = 200_000, 64, 32_768, 2048
+SAMPLE_WORDS, WORD_LENGTH, TABLE_WORDS, TASK_WORDS, TOKEN_LIMIT = 200_000, 64, 32_768, 4096, 2048
 _encoders: dict[str, Encoder] = {}
 
 
+def _pruned(seen: Counter, limit: int) -> Counter:
+    """seen, or its more frequent half where it holds more than limit words."""
+    return Counter(dict(_best(seen, limit // 2))) if len(seen) > limit else seen
+
+
+def _best(seen: Counter, words: int) -> list[tuple[str, int]]:
+    return sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:words]
+
+
 def _frequent(docs: DataFrame, path: str, text: str, sample: int, words: int) -> dict[str, int]:
-    """take() reads partitions one after another and stops, so a large corpus is not scanned for it."""
-    word = F.explode(F.split(text_or_empty(text), r"\s+")).alias("word")
-    encoder, seen = Encoder(path, len), Counter()
-    for row in docs.select(word).where(F.length("word") <= WORD_LENGTH).take(sample):
-        seen.update(encoder.pre_tokens(row["word"]))
-    best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:words]
-    return {w: encoder.words[w] for w, _ in best}
+    """The most frequent pre-tokens of all partitions and their lengths in tokens; no pre-token is shuffled."""
+    most = min(words, TASK_WORDS)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, seen = Encoder(path, len), Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update(encoder.pre_tokens(t.as_py()))
+                seen = _pruned(seen, sample)
+        best = _best(Counter({w: n for w, n in seen.items() if len(w) <= WORD_LENGTH}), most)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
+
+    encoder = Encoder(path, len)
+    if not encoder.by_word:
+        return {}  # its texts are encoded whole, nothing would be looked up
+    lists = docs.select(text_or_empty(text).alias("text")).mapInArrow(counted, "word string, n long").toArrow()
+    best = lists.group_by("word").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("word", "ascending")])
+    return {w: encoder.words[w] for w in best["word"][:words].to_pylist()}
 
 
 def token_lengths(docs: DataFrame, path: str, text: str = "text", sample: int = SAMPLE_WORDS, words: int = TABLE_WORDS):
