@@ -47,7 +47,8 @@ def test_null_ids_ties_and_no_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).where("n_shingles > 0").collect() if r["component_id"] is not None)
     assert got == [(False, 3, 3, True), (False, 3, 3, True), (False, 4, 3, False), (True, 0, 3, False)]
-    assert sorted(r["doc_id"] or 0 for r in neardup.keep(df).collect()) == [0, 0, 3, 5]
+    # both texts of doc_id 3 stay, as neither is a copy of the other; the copy of one, doc_id 4, goes
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.keep(df).collect()) == [(0, "a b c d e f"), (0, "alone with no number at all"), (3, "a b c d e f"), (3, "other words are said here now"), (5, "")]
     assert neardup.near_duplicates(df.where("false")).collect() == []
 
 
@@ -96,3 +97,28 @@ def test_no_benchmark_and_every_shared_span(spark):
         texts = [r["text"].split() for r in docs.orderBy("doc_id").collect()]
         tests = spark.createDataFrame([(i, " ".join([*prose(rng, i).split(), *t[i : i + 13], *prose(rng, 9).split()])) for i, t in enumerate(texts)], "item_id long, text string")
         assert decontam.find_hits(docs, tests, bound=bound).where("n_hit >= 13").count() == 20
+
+
+def test_components_by_one_task_and_by_stars(spark):
+    """Paths, stars and rings whose links lie in several tasks, put together by one task and by steps over all."""
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 300), (7, 8)]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    want = {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 40)} | {200 + i: 200 for i in range(1, 9)}
+    for one_task in (neardup.ONE_TASK, 0):
+        found, n = neardup.components(spark, df, one_task)
+        assert {r["id"]: r["comp"] for r in found.collect()} == want and n >= len(want)
+    assert neardup.components(spark, df.where("a = b"))[1] == 0
+
+
+def test_families_that_share_a_passage_are_centred(spark):
+    """Texts of one long passage and a little of their own: all meet, few are linked, with and without broadcasts."""
+    rng = random.Random(12)
+    passage = prose(rng, 90)
+    rows = [(i, passage + " " + prose(rng, 40)) for i in range(60)]
+    rows += [(60 + i, " ".join([*rows[i][1].split()[:-3], *prose(rng, 3).split()])) for i in range(0, 60, 3)]
+    got = _by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    want = components(rows, 5, 80)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert 1 < len({c for _, c in want.values()}) < len(want)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import xxhash
@@ -22,13 +24,23 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset and all run on one machine."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not known and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (known or DEFAULT_SHARED).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and host that Hadoop gives it, so that every reader means the same place."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(target).toString()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/threadloom-{name}-{uuid.uuid4().hex}"
+    path = qualified(spark, f"{shared_dir(spark)}/threadloom-{name}-{uuid.uuid4().hex}")
     _written.append((spark, path))
     return path
 
@@ -38,7 +50,17 @@ def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "s
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for table in tables:
+        if (path := table.__dict__.pop("_written_at", None) if table is not None else None) is not None:
+            _written.remove((table.sparkSession, path))
+            remove(table.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -57,20 +79,46 @@ def _clean() -> None:
             return
 
 
-class HashCache(dict):
-    """Word bytes to 64-bit hashes; emptied when it holds `limit` words, so its memory is bounded."""
+class Cache(dict):
+    """make(key) by key, of the last `limit` to twice as many keys that were asked for, and of those in `first`."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
+    def __init__(self, make: Callable[[Any], Any], limit: int, first: dict | None = None):
+        super().__init__()
+        self.make, self.limit, self.first, self.old = make, limit, first or {}, {}
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, key: Any) -> Any:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        value = self.first.get(key)
+        if value is None and (value := self.old.get(key)) is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
 
+_words = Cache(xxhash.xxh3_64_intdigest, 60_000)
+_resident: dict[Any, Any] = {}
+
+
+def resident(key: Any, make: Callable[[], Any]) -> Any:
+    """make() kept by the worker for its next tasks; only one thing is kept, so that a worker's memory does not add up over stages."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def tidied(batches: Iterator) -> Iterator:
+    """batches, and at their end the memory that the worker no longer needs goes back to the system."""
+    import pyarrow as pa
 
-_words = HashCache()
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -108,11 +156,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def texts_of(column) -> Iterable[bytes | None]:
-    """The UTF-8 bytes of an Arrow string column, null as None."""
+def texts_of(column, rows: int = 256) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of an Arrow string column, null as None; few are Python objects at a time."""
     import pyarrow as pa
 
-    return column.cast(pa.large_binary()).to_pylist()
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(pa.large_binary()).to_pylist()
 
 
 def text_or_empty(column: str = "text"):

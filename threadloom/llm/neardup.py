@@ -5,23 +5,27 @@
 2. Every class is posted under each (coordinate, value) pair. Pairs that one class alone has are dropped.
    Two classes at the threshold agree in at least `matches` coordinates (but for a chance of MISS), so the
    rarest COORDS - matches + 1 postings of a class are enough to meet: the prefix. The longest lists are
-   skipped and only counted when a met pair is compared coordinate by coordinate.
+   skipped and only counted when a met pair is compared coordinate by coordinate, by a byte of each.
 3. Within a list no all-pairs are made. Its most connected class, the hub, is compared with the others; what
    links is merged into components, and a list whose classes share a component is done. If at most HUBS classes
-   lie outside the largest component, they are compared with the list. Otherwise the list is centred on a set V,
-   the shingles that most of SAMPLE of its classes have (any set gives right results, a good one short lists):
-   x and y can reach the threshold only if they share shingles that V lacks, at least percent * |x| - |x & V| of
-   them, or if the smaller of |x & V| and |y & V| alone could reach it. So x is posted anew under a prefix of the
-   shingles of x - V; all are compared with the class nearest to V, and then the pairs of the other kind unless one
-   component has both; the new lists, each at most about half as long, go the same way. After DEPTH centrings, HUBS classes of what is left of a
-   list are compared with it a round. So components are whole, however large the group is, and copies with many
-   edits each cost their own differences, not a comparison with all others.
+   lie outside the largest component, they are compared with the list, which is then done. Longer lists whose
+   hubs are linked are one family. It is centred on a set V, the shingles that most of SAMPLE of its classes have (any set gives right results, a good
+   one short lists): x and y can reach the threshold only if they share shingles that V lacks, at least
+   percent * |x| - |x & V| of them, or if the smaller of |x & V| and |y & V| alone could reach it. So x is posted
+   anew under a prefix of the shingles of x - V; all are compared with the class nearest to V, and then the pairs
+   of the other kind unless one component has both; the new lists go the same way. After DEPTH centrings, HUBS
+   classes of what is left of a list are compared with it a round. So components are whole, however large the
+   group is, and copies with many edits each cost their own differences, not a comparison with all others.
 4. A met pair with enough equal coordinates is confirmed on the full sets.
 
+Components come from a forest of the links of each task; forests of at most ONE_TASK links are put together by
+one task, larger ones by star steps. Tables are broadcast up to BROADCAST_ROWS counted rows, else shuffled.
+
 Texts without words, and null texts, have an empty set and no links. Equal rows are one class. Rows with
 equal doc_id are one node of the graph: their component is that of any of them. A row without doc_id joins
 only by an equal set; its component is that set's smallest doc_id and it is not kept. Ties between hubs go to
-the smaller digest. Other columns are not read. An empty table gives an empty result.
+the larger class number. Very long texts have large sets, which only their own pairs carry. Other columns are
+not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,18 +37,24 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, gram_hashes, mixed, odd_numbers, signed, texts_of, word_hashes, written
+from .common import LOWER, discard, gram_hashes, mixed, odd_numbers, signed, texts_of, tidied, word_hashes, written
 
 SHINGLE, PERCENT = 5, 80
 COORDS, MISS = 32, 1e-6
-#: Classes outside a list's largest component that are compared with the whole list; centrings one after another.
+#: Classes that are compared with a whole list in one round; centrings one after another; classes that make a centre.
 HUBS, DEPTH, SAMPLE = 16, 8, 33
+#: Links that one task puts together (16 bytes each); rows of a broadcast table (at most 40 bytes each).
+ONE_TASK, BROADCAST_ROWS = 1_000_000, 250_000
+#: Tasks among which the classes of one family are dealt.
+SLOTS = 16
 _ODD = odd_numbers(COORDS, 11)[:, None]
 _XOR = odd_numbers(COORDS, 13)[:, None]
 _AXIS = odd_numbers(COORDS, 17)
+_SKETCH = [f"s{i}" for i in range(COORDS // 8)]
+_CLASS = ["num", "weight", "comp", *_SKETCH]
 
 
 def matches_for(percent: int, coords: int = COORDS, miss: float = MISS) -> int:
@@ -65,8 +75,8 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
 
 def minima(shingles: np.ndarray) -> np.ndarray:
     out = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1 << 14):
-        np.minimum(out, (((shingles[None, at : at + (1 << 14)] ^ _XOR) * _ODD)).min(axis=1), out=out)
+    for at in range(0, len(shingles), 1 << 12):
+        np.minimum(out, (((shingles[None, at : at + (1 << 12)] ^ _XOR) * _ODD)).min(axis=1), out=out)
     return out
 
 
@@ -75,70 +85,143 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, cid (digest of the set), sig (minima), tkey (digest of the text) of every row."""
+
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             counts, keys, sigs = [], [], []
-            for data in texts_of(batch.column(1)):
+            for data in texts_of(batch.column(2)):
                 s = shingle_set(data, k)
                 counts.append(len(s))
                 keys.append(_digest(s) if len(s) else None)
                 sigs.append(minima(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "cid", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), batch.column(1)], ["doc_id", "n_shingles", "cid", "sig", "tkey"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(signed_rows, "doc_id long, n_shingles long, cid binary, sig binary")
+    t = F.col(text).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text), t.alias("text"))
+    return rows.mapInArrow(signed_rows, "doc_id long, n_shingles long, cid binary, sig binary, tkey binary")
+
+
+def text_key(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("tkey")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, cid) of every class and coordinate."""
+    """(token, num) of every class and coordinate."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint64).reshape(-1, COORDS)
             tokens = (sig ^ _AXIS) * _AXIS  # a coordinate's values are moved by a bijection of its own
-            yield pa.RecordBatch.from_arrays([pa.array(signed(tokens.ravel())), batch["cid"].take(pa.array(np.repeat(np.arange(len(sig)), COORDS)))], ["token", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(tokens.ravel())), batch["num"].take(pa.array(np.repeat(np.arange(len(sig)), COORDS)))], ["token", "num"])
 
-    return classes.select("cid", "sig").mapInArrow(posted, "token long, cid binary")
+    return classes.select("num", "sig").mapInArrow(posted, "token long, num long")
 
 
-def star_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(id, comp): each node of the links (a, b) with the least node that it reaches.
+def _sketched(classes: DataFrame) -> DataFrame:
+    """num and a byte of each coordinate, eight in a number. Equal coordinates have equal bytes, so no pair is lost."""
 
-    Large-star and small-star steps in turn, written once a turn, until the links no longer change.
-    """
-    now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint64).reshape(-1, COORDS)
+            sketch = np.ascontiguousarray((mixed(sig) >> np.uint64(56)).astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["num"], *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["num", *_SKETCH])
+
+    return classes.select("num", "sig").mapInArrow(made, "num long, " + ", ".join(f"{s} long" for s in _SKETCH))
+
+
+def _signed(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
+def _equal_bytes(a: list[Column], b: list[Column]) -> Column:
+    """How many bytes of the numbers a and b are equal: the bits of each byte's difference are drawn into its last."""
+
+    def differing(x: Column) -> Column:
+        for shift, high, low in ((4, 0xF0, 0x0F), (2, 0x0C, 0x03), (1, 0x02, 0x01)):
+            of = lambda m: _signed(int.from_bytes(bytes([m]) * 8, "little"))  # noqa: B023, E731
+            x = x.bitwiseOR(F.shiftrightunsigned(x.bitwiseAND(of(high)), shift)).bitwiseAND(of(low))
+        return F.bit_count(x)
+
+    return F.lit(8 * len(a)) - reduce(lambda x, y: x + y, (differing(x.bitwiseXOR(y)) for x, y in zip(a, b)))
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+class _Forest:
+    """Union-find on numbers; the least of a tree is its root."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        at = x
+        while (to := self.up.get(at, at)) != at:
+            at = to
+        while (to := self.up.get(x, x)) != at:
+            self.up[x] = at
+            x = to
+        return at
+
+    def add(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
+def _forests(links: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """(id, comp): the links (a, b) of each task with those that follow from others left out; at most `most` are held at once."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        for batch in batches:
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+                forest.add(a, b)
+            if len(forest.up) >= most:
+                yield packed(forest)
+                forest = _Forest()
+        yield packed(forest)
+
+    def packed(forest: _Forest) -> pa.RecordBatch:
+        ids = list(forest.up)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([forest.root(x) for x in ids], pa.int64())], ["id", "comp"])
+
+    return links.select("a", "b").mapInArrow(trees, "id long, comp long")
+
+
+def components(spark: SparkSession, links: DataFrame, one_task: int = ONE_TASK) -> tuple[DataFrame, int]:
+    """(id, comp) of each node of the links (a, b) that is not the least of its component, with that least one; and the number of rows."""
+    trees = written(spark, _forests(links), "forests")
+    n = trees.count()
+    if not n:
+        return trees, 0
+    again = trees.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    # each tree of a task has one root, and a node one row: what one task can hold, it can put together
+    whole = written(spark, _forests(again.coalesce(1), 2 * one_task), "components") if n <= one_task else written(spark, star_components(spark, again), "components")
+    discard(trees)
+    return whole, n
+
+
+def star_components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """components() without a task that sees all: large-star and small-star steps in turn, written once a turn, until the links no longer change."""
+    now = written(spark, links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(spark, small.union(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        steps = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, now = now, written(spark, steps.union(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        discard(last)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
+            return now.select(F.col("a").alias("id"), F.col("b").alias("comp"))
         before = state
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that have enough equal coordinates and whose full sets reach the threshold."""
-
-    @F.arrow_udf("int")
-    def equal(a: pa.Array, b: pa.Array) -> pa.Array:
-        get = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDS)
-        return pa.array((get(a) == get(b)).sum(axis=1).astype(np.int32)) if len(a) else pa.array([], pa.int32())
-
-    @F.arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_reaches(x, y, percent) for x, y in _arrays(a, b)], pa.bool_())
-
-    side = lambda t, key, col, name: t.select(F.col("cid").alias(key), F.col(col).alias(name))
-    near = pairs.join(side(sketches, "x", "sketch", "sx"), "x").join(side(sketches, "y", "sketch", "sy"), "y").where(equal("sx", "sy") >= matches).select("x", "y")
-    both = near.join(side(sets, "y", "shingles", "by"), "y").join(side(sets, "x", "shingles", "bx"), "x")
-    return both.where(linked("bx", "by")).select("x", "y")
-
-
 def _arrays(*columns: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     for values in zip(*columns):
         yield tuple(np.frombuffer(v.as_buffer(), np.uint64) for v in values)
@@ -157,6 +240,18 @@ def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(x) + len(y) - n)
 
 
+def _confirmed(pairs: DataFrame, rows: int, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the components of the pairs (x, y, cx, cy) whose full sets reach the threshold; y: hubs, which many pairs share."""
+
+    @F.arrow_udf("boolean")
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_reaches(x, y, percent) for x, y in _arrays(a, b)], pa.bool_())
+
+    mine = sets.select(F.col("num").alias("x"), F.col("shingles").alias("bx")).join(small(pairs, rows), "x")
+    hubs = sets.join(small(pairs.select(F.col("y").alias("num")).distinct(), rows), "num", "left_semi").select(F.col("num").alias("y"), F.col("shingles").alias("by"))
+    return mine.join(hubs, "y").where(linked("bx", "by")).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+
+
 def own_shingles(x: np.ndarray, centre: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     """How many shingles x has of the centre, and the prefix, by hash, of those that the centre lacks."""
     own = np.setdiff1d(x, centre, assume_unique=True)
@@ -165,8 +260,17 @@ def own_shingles(x: np.ndarray, centre: np.ndarray, percent: int) -> tuple[int,
     return n, own[: max(0, len(own) - least + 1)]
 
 
+def _slot(n: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64("num"), F.lit(n)).alias("slot")
+
+
+def _dealt(table: DataFrame) -> DataFrame:
+    """A row for each slot, so that a family's classes meet it in SLOTS tasks."""
+    return table.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))))
+
+
 def _centred(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members (family, cid, rep, weight, comp) with n (shingles of the centre), size and own."""
+    """members (token, _CLASS) with n (shingles of the centre), size and own."""
 
     @F.arrow_udf("binary")
     def centre(samples: pa.Array) -> pa.Array:
@@ -183,149 +287,208 @@ def _centred(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ints = lambda i: pa.array([o[i] for o in out], pa.int32())
         return pa.StructArray.from_arrays([ints(1), ints(0), pa.array([signed(o[2]) for o in out], pa.list_(pa.int64()))], ["n", "size", "own"])
 
-    sampled = members.groupBy("family", F.pmod(F.xxhash64("cid"), F.lit(SAMPLE)).alias("slot")).agg(F.min("cid").alias("cid"))
-    centres = sampled.join(sets, "cid").groupBy("family").agg(F.collect_list("shingles").alias("s")).select("family", centre("s").alias("centre"))
-    both = members.join(centres, "family").join(sets, "cid")
-    return both.select("family", "cid", "rep", "weight", "comp", parted("shingles", "centre").alias("p")).select("family", "cid", "rep", "weight", "comp", "p.*")
+    sampled = members.groupBy("token", _slot(SAMPLE)).agg(F.min("num").alias("num"))
+    centres = sampled.join(sets, "num").groupBy("token").agg(F.collect_list("shingles").alias("s")).select("token", centre("s").alias("centre"))
+    both = members.withColumn("slot", _slot()).join(_dealt(centres), ["token", "slot"]).join(sets, "num")
+    return both.select("token", *_CLASS, parted("shingles", "centre").alias("p")).select("token", *_CLASS, "p.*")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    spark = docs.sparkSession
-    matches = matches_for(percent)
-    rows = written(spark, signatures(docs, k, text), "signatures")
-    classes = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    # a doc_id whose rows have different sets ties their classes
-    ties = rows.where(F.col("cid").isNotNull() & F.col("doc_id").isNotNull()).join(classes, "cid").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = ties
+def _by_centre(family: DataFrame, percent: int) -> DataFrame:
+    """(x, y, cx, cy) of different components whose shingles of the centre alone could make them reach the threshold."""
+    hundred, p = 100 + percent, percent
+    sizes = family.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("size").alias("least"))
+    sizes = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.min("least").alias("least"))
+    able = family.withColumn("slot", _slot()).join(_dealt(sizes), ["token", "slot"]).where(hundred * F.col("n") >= p * (F.col("size") + F.col("least")))
+    able = able.select("token", "slot", "num", "n", "size", "comp", "most")
+    minor = _dealt(able.where("comp <> most").select("token", F.col("num").alias("y"), F.col("n").alias("on"), F.col("size").alias("osize"), F.col("comp").alias("cy")))
+    both = able.join(minor, ["token", "slot"]).where((F.col("comp") != F.col("cy")) & (hundred * F.least("n", "on") >= p * (F.col("size") + F.col("osize"))))
+    return both.select(F.col("num").alias("x"), "y", F.col("comp").alias("cx"), "cy")
 
-    one = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.first("sig").alias("sig"))
-    postings = _postings(one)
-    common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(spark, postings.join(common, "token"), "postings")
-    rank = F.array_sort(F.collect_list(F.struct("n", "token")))  # at most COORDS a class
-    mine = shared.groupBy("cid").agg(rank.alias("posts"), F.sum("n").alias("weight"))
-    # unshared postings are the rarest and fill the prefix first
-    prefix = COORDS - matches + 1
-    room = prefix - (COORDS - F.size("posts"))
-    posts = mine.where(room > 0).select("cid", "weight", F.explode(F.slice("posts", 1, F.greatest(room, F.lit(1)))).alias("p")).select("cid", "weight", "p.token")
-    # a list that lost all but one of its classes to their prefixes joins nothing
-    posts = written(spark, posts, "prefix")
-    lists = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    posts = posts.join(lists, "token")
-    active = posts.select("cid").distinct()
-    reps = written(spark, classes.join(active, "cid").where("rep is not null"), "active")
-    sketches = written(spark, _sketches(one.join(active, "cid")), "sketches")
-    sets = written(spark, _sets(docs, reps, k, text), "sets")
-    posts = written(spark, posts.join(reps, "cid").select("cid", "rep", "weight", "token", F.col("rep").alias("comp")), "lists")
-
-    def first_hub(posts: DataFrame) -> DataFrame:
-        best = F.max_by(F.struct("cid", "comp"), F.struct("weight", F.expr("-1 * xxhash64(cid)")))
-        return posts.groupBy("token").agg(best.alias("h")).select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp"))
-
-    def paired(a: str, b: str) -> list:
-        return [F.greatest(a, b).alias("x"), F.least(a, b).alias("y")]
-
-    hubs, more, parted, depth = first_hub(posts), None, None, 0
-    while True:
-        hubs = written(spark, hubs, "hubs")
-        met = posts.join(hubs, "token").where((F.col("cid") != F.col("hub")) & (F.col("comp") != F.col("hub_comp"))).select(*paired("cid", "hub"))
-        met = (met if more is None else met.union(more)).distinct()
-        judged = _confirmed(met, sketches, sets, matches, percent)
-        name = lambda key, to: reps.select(F.col("cid").alias(key), F.col("rep").alias(to))
-        links = links.union(judged.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b"))
-        comps = written(spark, star_components(spark, links), "components")
-        links, more = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")), None
-        known = comps.select(F.col("id").alias("rep"), "comp")
-        # a hub has met all of its list; lists within one component are done
-        left = _renewed(posts.select("cid", "rep", "weight", "token"), known)
-        left = left.join(hubs.select("token", F.col("hub").alias("cid")), ["token", "cid"], "left_anti")
-        sizes = left.groupBy("token", "comp").agg(F.count("*").alias("n"))
-        lists = sizes.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
-        posts = written(spark, left.join(lists, "token").select("cid", "rep", "weight", "token", "comp", "most", "minor"), "lists")
-        pairs = [] if parted is None else [_by_centre(_renewed(parted, known), percent).select(*paired("cid", "other"))]
-        parted = None
-        if posts.isEmpty():
-            hubs = hubs.where("false")
-        else:
-            few = posts.where((F.col("comp") != F.col("most")) & (F.col("minor") <= HUBS)).select("token", F.col("cid").alias("hub"), F.col("comp").alias("hub_comp"))
-            many = posts.where(F.col("minor") > HUBS)
-            if many.isEmpty():
-                hubs = few
-            elif depth >= DEPTH:
-                some = many.where("comp <> most").groupBy("token", F.pmod(F.xxhash64("cid"), F.lit(HUBS)).alias("slot")).agg(F.max_by(F.struct("cid", "comp"), F.struct("weight", F.xxhash64("cid"))).alias("h"))
-                hubs = few.union(some.select("token", F.col("h.cid").alias("hub"), F.col("h.comp").alias("hub_comp")))
-            else:
-                # lists with one hub are one family at first, as near copies share most of their lists
-                key = F.xxhash64("hub") if depth == 0 else F.col("token")
-                members = many.join(hubs.select("token", "hub"), "token").select(key.alias("family"), "cid", "rep", "weight", "comp").distinct()
-                parted = written(spark, _centred(members, sets, percent), "centred")
-                # the class nearest to the centre links most of those near it, before they are paired
-                nearest = parted.groupBy("family").agg(F.min_by(F.struct("cid", "comp"), F.struct(F.col("size") - 2 * F.col("n"), "cid")).alias("b")).select("family", F.col("b.cid").alias("other"), F.col("b.comp").alias("ocomp"))
-                pairs.append(parted.join(nearest, "family").where("comp <> ocomp").select(*paired("cid", "other")))
-                own = parted.select("family", "cid", "rep", "weight", "comp", F.explode("own").alias("e")).select("cid", "rep", "weight", F.xxhash64("family", "e").alias("token"), "comp")
-                several = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-                own = written(spark, own.join(several, "token", "left_semi").select("cid", "rep", "weight", "token", "comp"), "own")
-                posts = posts.where(F.col("minor") <= HUBS).select("cid", "rep", "weight", "token", "comp").union(own)
-                hubs = few.union(first_hub(own))
-        depth += 1
-        more = written(spark, reduce(DataFrame.union, pairs).distinct(), "partners") if pairs else None
-        if posts.isEmpty() and parted is None and (more is None or more.isEmpty()):
-            break
-
-    named = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("cid", F.coalesce("comp", "rep").alias("comp"))
-    out = rows.join(named, "cid", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(token, hubs): the classes of rows, at most HUBS a token, as an array."""
+    return rows.groupBy("token").agg(F.collect_list(F.struct("num", "comp", *_SKETCH)).alias("hubs"))
 
-def _renewed(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with the components that are known now."""
-    return rows.drop("comp").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
+def _first_hub(posts: DataFrame) -> DataFrame:
+    """(token, hubs) of the most connected class of each list of two or more."""
+    best = F.max_by(F.struct("num", "comp", *_SKETCH), F.struct("weight", "num"))
+    return posts.groupBy("token").agg(F.count("*").alias("n"), best.alias("h")).where("n > 1").select("token", F.array("h").alias("hubs"))
 
-def _by_centre(family: DataFrame, percent: int) -> DataFrame:
-    """(cid, other) of different components whose shingles of the centre alone could make them reach the threshold."""
-    hundred, p = 100 + percent, percent
-    sizes = family.groupBy("family", "comp").agg(F.count("*").alias("c"), F.min("size").alias("least"))
-    sizes = sizes.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.min("least").alias("least"))
-    able = family.join(sizes, "family").where(hundred * F.col("n") >= p * (F.col("size") + F.col("least")))
-    able = able.select("family", "cid", "n", "size", "comp", "most")
-    minor = able.where("comp <> most").select("family", F.col("cid").alias("other"), F.col("n").alias("on"), F.col("size").alias("osize"), F.col("comp").alias("ocomp"))
-    both = able.join(minor, "family").where((F.col("comp") != F.col("ocomp")) & (hundred * F.least("n", "on") >= p * (F.col("size") + F.col("osize"))))
-    return both.select("cid", "other")
 
+def _some_hubs(lists: DataFrame) -> DataFrame:
+    """(token, hubs) of HUBS classes outside each list's largest component."""
+    best = F.max_by(F.struct("num", "comp", *_SKETCH), F.struct("weight", "num"))
+    some = lists.where("comp <> most").groupBy("token", _slot(HUBS)).agg(best.alias("h"))
+    return some.select("token", "h.*").groupBy("token").agg(F.collect_list(F.struct("num", "comp", *_SKETCH)).alias("hubs"))
 
-def _sketches(classes: DataFrame) -> DataFrame:
-    """(cid, sketch): a byte of each coordinate. Equal coordinates have equal bytes, so no pair is lost."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint64).reshape(-1, COORDS)
-            yield pa.RecordBatch.from_arrays([batch["cid"], pa.array([x.tobytes() for x in (mixed(sig) >> np.uint64(56)).astype(np.uint8)], pa.binary())], ["cid", "sketch"])
+def _met(posts: DataFrame, hubs: DataFrame, matches: int) -> DataFrame:
+    """posts with the numbers of their list's hubs, and those of them that may be linked with the class."""
+    both = posts.join(hubs, "token")
+    first = lambda h: (h["num"] < F.col("num")) | ~F.exists("hubs", lambda g: g["num"] == F.col("num"))  # noqa: E731  (two hubs meet once)
+    near = F.filter("hubs", lambda h: (h["num"] != F.col("num")) & first(h) & (h["comp"] != F.col("comp")) & (_equal_bytes([F.col(s) for s in _SKETCH], [h[s] for s in _SKETCH]) >= matches))
+    return both.select("token", *_CLASS, F.transform("hubs", lambda h: h["num"]).alias("met"), F.transform(near, lambda h: F.struct(h["num"].alias("y"), h["comp"].alias("cy"))).alias("near"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.col("num").alias("x"), F.col("comp").alias("cx"), F.explode("near").alias("h")).select("x", "h.y", "cx", "h.cy")
+
+
+def _renewed(rows: DataFrame, comps: DataFrame | None, n: int, column: str = "comp") -> DataFrame:
+    """rows with the components that the newest links give."""
+    if not n:
+        return rows
+    now = comps.select(F.col("id").alias(column), F.col("comp").alias("_now"))
+    return rows.join(small(now, n), column, "left").withColumn(column, F.coalesce("_now", column)).drop("_now")
+
 
-    return classes.select("cid", "sig").mapInArrow(made, "cid binary, sketch binary")
+def _undone(lists: DataFrame) -> DataFrame:
+    """lists that have several components, with the largest one (most) and how many classes lie outside it (minor)."""
+    sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
+    sizes = sizes.agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), (F.sum("c") - F.max("c")).alias("minor")).where("minor > 0")
+    return lists.join(sizes, "token")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, k: int, text: str) -> DataFrame:
-    """(cid, shingles) of the classes in reps, from the text of one row each."""
+def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, percent: int, text: str, tied: bool) -> DataFrame:
+    """(cid, root, component) of every class; tied: rows of one doc_id link their classes."""
+    matches = matches_for(percent)
+    classes = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = written(spark, classes.withColumn("num", F.monotonically_increasing_id()), "classes")
+    links: list[DataFrame] = []
+    if tied:  # a doc_id whose rows have different sets ties their classes
+        several = rows.where("cid is not null and doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("cid"), F.max("cid").alias("last")).where("cid <> last").select("doc_id")
+        if not (several := written(spark, several, "ties")).isEmpty():
+            own = rows.join(several, "doc_id").select("doc_id", "cid").distinct().join(classes.select("cid", "num"), "cid")
+            least = own.groupBy("doc_id").agg(F.min("num").alias("b"))
+            links.append(own.join(least, "doc_id").select(F.col("num").alias("a"), "b"))
+    named = classes.where("rep is not null")
+
+    postings = _postings(named)
+    common = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    rank = F.array_sort(F.collect_list(F.struct("n", "token")))  # at most COORDS a class
+    mine = postings.join(common, "token").groupBy("num").agg(rank.alias("posts"), F.sum("n").alias("weight"))
+    # unshared postings are the rarest and fill the prefix first
+    room = F.lit(COORDS - matches + 1) - (COORDS - F.size("posts"))
+    posts = mine.where(room > 0).join(_sketched(named), "num").select("num", "weight", F.col("num").alias("comp"), *_SKETCH, F.explode(F.slice("posts", 1, F.greatest(room, F.lit(1)))).alias("p")).select("p.token", *_CLASS)
+    posts = written(spark, posts, "posts")
+    met = written(spark, _met(posts, _first_hub(posts), matches), "met")
+    discard(posts)
+    sets = _sets(spark, docs, met.select("num").distinct().join(named.select("num", "cid", "rep"), "num"), k, text)
+
+    extra: list[DataFrame] = []
+    parted, spent, used, old, step = None, None, [met], [met], 0
+    lists = met.where(F.col("num") != F.col("met")[0]).select("token", *_CLASS, F.col("met")[0].alias("hub"))
+    while old or extra:
+        pairs = written(spark, reduce(DataFrame.union, [*map(_pairs, old), *extra]).distinct(), "pairs")
+        discard(spent)
+        extra, spent = [], None
+        n = pairs.count()
+        comps, c = components(spark, _confirmed(pairs, n, sets, percent)) if n else (None, 0)
+        if c:
+            links.append(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        if parted is not None:
+            extra, spent, parted = [_by_centre(_renewed(parted, comps, c), percent)], parted, None
+        if step == 0:  # lists whose hubs are linked are one family, as near copies share most of their lists
+            lists = _renewed(lists, comps, c, "hub")
+        undone = written(spark, _undone(_renewed(lists, comps, c)), "lists") if lists is not None else None
+        discard(*used, pairs)
+        used, old, lists = [undone], [], None
+        if undone is None or undone.isEmpty():
+            continue
+        step += 1
+        # what lies outside the largest component of these meets all: then they are done
+        few, many = undone.where(F.col("minor") <= HUBS), undone.where(F.col("minor") > HUBS)
+        old.append(_met(few.select("token", *_CLASS), _hubs(few.where("comp <> most")), matches))
+        if many.isEmpty():
+            continue
+        if step == 1:
+            many = many.select(F.col("hub").alias("token"), *_CLASS).dropDuplicates(["token", "num"])
+        if step <= DEPTH:
+            parted = written(spark, _centred(many.select("token", *_CLASS), sets, percent), "centred")
+            # the class nearest to the centre links most of those near it, before they are paired
+            nearest = parted.groupBy("token").agg(F.min_by(F.struct("num", "comp"), F.struct(F.col("size") - 2 * F.col("n"), "num")).alias("b")).select("token", F.col("b.num").alias("y"), F.col("b.comp").alias("cy"))
+            extra.append(parted.withColumn("slot", _slot()).join(_dealt(nearest), ["token", "slot"]).where("comp <> cy").select(F.col("num").alias("x"), "y", F.col("comp").alias("cx"), "cy"))
+            own = parted.select(F.col("token").alias("f"), *_CLASS, F.explode("own").alias("e")).select(F.xxhash64("f", "e").alias("token"), *_CLASS)
+            several = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+            before = written(spark, own.join(several, "token", "left_semi"), "own")
+            hubs = _first_hub(before)
+        else:
+            before, hubs = many, _some_hubs(many)
+        some = written(spark, _met(before.select("token", *_CLASS), hubs, matches), "met")
+        discard(before)
+        used.append(some)
+        old.append(some)
+        lists = some.where(~F.array_contains("met", F.col("num"))).select("token", *_CLASS)
+    discard(sets, *used)
+    whole, n = components(spark, reduce(DataFrame.union, links)) if links else (None, 0)
+    return _named(classes, whole, n)
+
+
+def _named(classes: DataFrame, comps: DataFrame | None, n: int) -> DataFrame:
+    """(cid, root, component): the number of each class's component and its smallest doc_id."""
+    if not n:
+        return classes.select("cid", F.col("num").alias("root"), F.col("rep").alias("component"))
+    nodes = comps.union(comps.select("comp", "comp").distinct())
+    least = nodes.join(classes.select(F.col("num").alias("id"), "rep"), "id").groupBy("comp").agg(F.min("rep").alias("component"))
+    nodes = nodes.join(least, "comp").select(F.col("id").alias("num"), F.col("comp").alias("root"), "component")
+    out = classes.join(small(nodes, 2 * n), "num", "left")
+    return out.select("cid", F.coalesce("root", "num").alias("root"), F.coalesce("component", "rep").alias("component"))
+
+
+def _sets(spark: SparkSession, docs: DataFrame, active: DataFrame, k: int, text: str) -> DataFrame:
+    """(num, shingles) of the classes in active (num, cid, rep), from the text of one row each."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             keys, sets = [], []
-            for cid, data in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            for num, cid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
                 s = shingle_set(data, k)
                 if _digest(s) == cid:  # another row of that doc_id may have another set
-                    keys.append(cid)
+                    keys.append(num)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["cid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["num", "shingles"])
 
+    active = written(spark, active, "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    found = reps.join(texts, "rep").select("cid", "text").mapInArrow(made, "cid binary, shingles binary")
-    return found.dropDuplicates(["cid"])
+    found = texts.join(small(active, active.count()), "rep").select("num", "cid", "text").mapInArrow(made, "num long, shingles binary")
+    sets = written(spark, found, "sets")
+    discard(active)
+    if sets.groupBy("num").count().where("count > 1").isEmpty():
+        return sets
+    once = written(spark, sets.dropDuplicates(["num"]), "sets")  # rows are repeated
+    discard(sets)
+    return once
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    rows = written(docs.sparkSession, signatures(docs, k, text), "signatures")
+    named = _linked(docs.sparkSession, docs, rows, k, percent, text, tied=True)
+    out = rows.where("cid is not null").select("doc_id", "n_shingles", "cid").join(named.select("cid", "component"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.union(rows.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id stands for its component, once each; rows without doc_id stay, as nothing names them."""
-    ids = near_duplicates(docs, k, percent, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component: that of the smallest doc_id, of its texts the one with the smaller digest, once.
+
+    Here rows of one doc_id with unlike texts are not tied: each is judged by its own text. Rows without doc_id
+    stay, as nothing names them; so do rows without words, once each.
+    """
+    spark = docs.sparkSession
+    rows = written(spark, signatures(docs, k, text), "signatures")
+    named = _linked(spark, docs, rows, k, percent, text, tied=False)
+    judged = rows.where("cid is not null and doc_id is not null").join(named.select("cid", "root"), "cid").select("root", "doc_id", "tkey")
+    first = judged.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey")).alias("w")).where("n > 1")
+    gone = judged.join(first, "root").where((F.col("doc_id") != F.col("w.doc_id")) | (F.col("tkey") != F.col("w.tkey")))
+    gone = written(spark, gone.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct(), "gone")
+    again = rows.where("doc_id is not null").groupBy("doc_id", "tkey").count().where("count > 1")
+    again = written(spark, again.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")), "again")
+    keyed = docs.withColumn("_tkey", text_key(text))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_tkey") == F.col("_key"))
+    left = keyed.join(small(gone, gone.count()), same, "left_anti")
+    if n := again.count():
+        one = left.join(small(again, n), same, "left_semi").dropDuplicates(["doc_id", "_tkey"])
+        left = left.join(small(again, n), same, "left_anti").unionByName(one)
+    return left.select(*docs.columns)
