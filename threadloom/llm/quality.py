@@ -17,10 +17,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, text_or_empty
+from .common import SPACE_CLASS, WORD_CLASS, text_or_empty, written
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 LINE_DOCS, LINE_PERCENT, DEPLETED = 20, 10, 50
+#: The table of texts that lose lines is broadcast up to this size; bytes of one of its rows besides host and lines.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 64
+
+
+def _host(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("host")
+
+
+def _key(text: Column) -> Column:
+    """A text's digest: 16 bytes."""
+    return F.unhex(F.md5(text)).alias("key")
 
 
 def let(value: Column, body) -> Column:
@@ -44,23 +55,25 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0).cast("long")).otherwise(let(pairs, covered))
 
 
-def measures(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, host, key (text digest) and the measures of each row."""
+def measures(docs: DataFrame, text: str = "text", host: str = "source", keep: bool = False) -> DataFrame:
+    """doc_id, host, key (text digest) and the measures of each row; keep: the row itself besides, as _row."""
     t = F.col("_t")
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_or_empty(text).alias("_t"))
+    more = ["_row"] * keep
+    rows = docs.select(F.col("doc_id"), _host(host), text_or_empty(text).alias("_t"), *([F.struct(*docs.columns).alias("_row")] * keep))
     lines = let(F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CLASS)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     words = F.filter(F.split(t, f"{SPACE_CLASS}+"), lambda x: x != "")
     windows = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.size(w) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).alias("h")))
     rows = rows.select(
         "doc_id",
         "host",
-        F.md5("_t").alias("key"),
+        *more,
+        _key(F.col("_t")),
         F.length(F.regexp_replace(t, f"{SPACE_CLASS}+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
         let(windows, lambda w: F.struct(w["n"].alias("n_words"), F.when(w["h"].isNull(), F.lit(0).cast("long")).otherwise(_repeated(w["h"])).alias("n_repeat_words"))).alias("_w"),
     )
-    rows = rows.select("doc_id", "host", "key", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words")
+    rows = rows.select("doc_id", "host", *more, "key", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
@@ -75,7 +88,7 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
         return let(firsts, lambda b: F.transform(b, lambda y, k: F.struct(y["h"].alias("h"), (y["n"] * (F.coalesce(F.get(b, k + 1)["i"], F.size(s)) - y["i"])).cast("long").alias("chars"))))
 
     own = let(F.sort_array(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))), counted)
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.md5(t).alias("key"), F.explode(own).alias("x"))
+    rows = docs.select(F.col("doc_id"), _host(host), _key(t), F.explode(own).alias("x"))
     # a text that a host has more than once is one document
     return rows.groupBy("host", "key", F.col("x.h").alias("h")).agg(F.max("x.chars").alias("chars"), F.min("doc_id").alias("doc_id"))
 
@@ -83,13 +96,14 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
 def removed_lines(docs: DataFrame, text: str = "text", host: str = "source", percent: int | None = None) -> DataFrame:
     """(host, key, lost, removed): texts that lose lines, the characters lost and the hashes of the lines.
 
-    With percent, a line must also be in more than that many hundredths of the host's texts.
+    With percent, a line must also be in more than that many hundredths of the host's texts. The line table is
+    written once; it is counted and then joined with the lines over the limit.
     """
-    lines = line_table(docs, text, host)
+    lines = written(docs.sparkSession, line_table(docs, text, host), "lines")
     counts = lines.groupBy("host", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key")).alias("first"))
     over = counts.where(F.col("n") > LINE_DOCS)
     if percent is not None:
-        texts = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.md5(text_or_empty(text)).alias("key")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
+        texts = docs.select(_host(host), _key(text_or_empty(text))).distinct().groupBy("host").agg(F.count("*").alias("texts"))
         over = over.join(texts, "host").where(100 * F.col("n") > percent * F.col("texts"))
     over = over.select("host", "h", F.col("first.key").alias("first"))
     lost = lines.join(over, ["host", "h"]).where(F.col("key") != F.col("first"))
@@ -105,14 +119,21 @@ def verdicts(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows that stay, with their lines over the limit removed; the columns of docs."""
-    judged = measures(docs, text, host).select("host", "key", "base_failed", "word_chars").distinct()
-    lost = removed_lines(docs, text, host)
-    judged = judged.join(lost, ["host", "key"], "left").where(~F.col("base_failed") & (100 * F.coalesce("lost", F.lit(0)) <= DEPLETED * F.col("word_chars"))).select(F.col("host").alias("_host"), F.col("key").alias("_key"), F.col("removed").alias("_removed"))
+    """The rows that stay, with their lines over the limit removed; the columns of docs.
+
+    Texts that fail by themselves go in the task that reads them. The texts that lose lines are written; while
+    that table is known to be small it is sent to the texts, else both are shuffled by (host, digest).
+    """
+    spark = docs.sparkSession
+    lost = written(spark, removed_lines(docs, text, host).select(F.col("host").alias("_host"), F.col("key").alias("_key"), F.col("lost").alias("_lost"), F.col("removed").alias("_removed")), "lost")
+    size = lost.agg(F.coalesce(F.sum(F.octet_length("_host") + 8 * F.size("_removed") + ROW_BYTES), F.lit(0))).first()[0]
     t = text_or_empty(text)
-    joined = docs.join(judged, (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host")) & (F.md5(t) == F.col("_key")))
+    # rows go by an empty array, as a filter would be pushed down and measure every text again
+    own = measures(docs, text, host, keep=True).select("*", F.explode(F.when(~F.col("base_failed"), F.array(F.lit(0)))).alias("_one"))
+    joined = own.join(F.broadcast(lost) if size <= BROADCAST_BYTES else lost, (F.col("host") == F.col("_host")) & (F.col("key") == F.col("_key")), "left")
+    stays = joined.where(100 * F.coalesce("_lost", F.lit(0)) <= DEPLETED * F.col("word_chars")).select("_row.*", "_removed")
     left = let(F.col("_removed"), lambda r: F.array_join(F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(WORD_CLASS) & F.array_contains(r, F.xxhash64(normal_line(x))))), "\n"))
-    return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+    return stays.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
 
 
 SQL = r"""
