@@ -21,13 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import resident, text_or_empty, tidied, written
 from .tokenization import Encoder, packed
 
 CAPACITY, END_ID = 2048, 0
 #: Effort of the search: nodes of the tree in all, fillings looked at and kept for one largest piece.
 NODES, LOOKS, KEEP = 3000, 800, 4
-_encoders: dict[str, Encoder] = {}
 
 Filling = tuple[int, ...]
 
@@ -216,9 +215,9 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
     step = 4 * capacity
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path, packed))
+        encoder = resident(("ids", path), lambda: Encoder(path, packed))
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
-        for batch in batches:
+        for batch in tidied(batches):
             rows = []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = b"".join(encoder.of(value.as_py())) + end

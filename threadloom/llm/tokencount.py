@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import resident, text_or_empty, tidied
 from .tokenization import Encoder
 
 SAMPLE_WORDS, WORD_LENGTH, TABLE_WORDS, TASK_WORDS, TOKEN_LIMIT = 200_000, 64, 32_768, 4096, 2048
-_encoders: dict[str, Encoder] = {}
 
 
 def _pruned(seen: Counter, limit: int) -> Counter:
@@ -42,8 +41,8 @@ def _frequent(docs: DataFrame, path: str, text: str, sample: int, words: int) ->
     most = min(words, TASK_WORDS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path, len), Counter()
-        for batch in batches:
+        encoder, seen = resident(("lengths", path), lambda: Encoder(path, len)), Counter()
+        for batch in tidied(batches):
             for t in batch.column(0):
                 seen.update(encoder.pre_tokens(t.as_py()))
                 seen = _pruned(seen, sample)
@@ -66,11 +65,8 @@ def token_lengths(docs: DataFrame, path: str, text: str = "text", sample: int =
 
     @F.arrow_udf("long")
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(path, len, table.value)
-        encoder = _encoders[key]
-        for batch in batches:
+        encoder = resident(key, lambda: Encoder(path, len, table.value))
+        for batch in tidied(batches):
             yield pa.array([sum(encoder.of(t.as_py())) for t in batch], pa.int64())
 
     return n_tokens(text_or_empty(text))

@@ -16,6 +16,8 @@ from typing import Any
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import Cache
+
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffĀ-įı-ſ"
 #: A character whose lower case, normal form or class may differ between libraries, or that may start a special token.
 UNSURE = re.compile("[^\t-\r -~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ]|<\\|")
@@ -31,26 +33,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class _Cache(dict):
-    def __init__(self, make: Callable[[str], Any], base: dict[str, Any], limit: int):
-        super().__init__(base)
-        self.make, self.base, self.limit = make, base, limit + len(base)
-
-    def __missing__(self, key: str) -> Any:
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.base)
-        value = self[key] = self.make(key)
-        return value
-
-
 class Encoder:
     """of(text) is the list of `pack`ed values of its pre-tokens; pack gets the ids of one pre-token.
 
-    frequent: a first tier of known values, kept when the bounded second tier is emptied.
+    frequent: a first tier of known values; the second tier holds the last `limit` to twice as many words.
     """
 
-    def __init__(self, path: str, pack: Callable[[list[int]], Any], frequent: dict[str, Any] | None = None, limit: int = 450_000):
+    def __init__(self, path: str, pack: Callable[[list[int]], Any], frequent: dict[str, Any] | None = None, limit: int = 100_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -69,8 +58,8 @@ class Encoder:
         )
         self.letters = _byte_letters()
         self.model = self.library.model
-        self.words = _Cache(self._word, frequent or {}, limit)
-        self.chunks = _Cache(self._chunk, {}, limit // 8)
+        self.words = Cache(self._word, limit, frequent)
+        self.chunks = Cache(self._chunk, limit // 8)
 
     def _word(self, word: str) -> Any:
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
