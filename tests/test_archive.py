@@ -237,3 +237,41 @@ def test_command_line(put, tmp_path, capsys):
     assert main(["search", *db, "--q", '"open']) == 1
     assert main(["check", "--db", str(tmp_path / "nowhere")]) == 1
     assert '"conversation_id": "branch"' in capsys.readouterr().out
+
+
+def test_arrays_are_read_strictly_where_it_matters():
+    import io
+
+    import pytest
+
+    from threadloom.sources.export import ExportError, stream_array
+
+    good = '[ {"a": "]}\\\\\\"{["}, [1, {"b": []}] , "x\\\\\\\\", 12, null ]\n'
+    for chunk in (1, 2, 7, 1 << 16):
+        assert list(stream_array(io.StringIO(good), chunk, strict=True)) == [{"a": ']}\\"{['}, [1, {"b": []}], "x\\\\", 12, None]
+    for bad in ("[{} {}]", "[,{}]", "[{},]", "[{}] junk ]", "[{}", "[{},,{}]", "{}", "", "[{]"):
+        with pytest.raises(ExportError):
+            list(stream_array(io.StringIO(bad), strict=True))
+    assert list(stream_array(io.StringIO("[{},,{},] rest"))) == [{}, {}] and list(stream_array(io.StringIO("[{}"))) == [{}]
+    with pytest.raises(ExportError):
+        list(stream_array(io.StringIO("[{} {}]")))
+
+
+def test_a_replaced_archive_stands_until_the_new_one_is_whole(spark, tmp_path):
+    import pytest
+
+    from threadloom.archive import Archive
+
+    archive = Archive(spark, str(tmp_path / "a"))
+    archive._flip({"schema_version": 2, "version": 3, "buckets": 16, "runs": [{"run_id": "r"}], "tables": {}})
+    dumped = tmp_path / "d"
+    dumped.mkdir()
+    (dumped / "META.json").write_text('{"schema_version": 2, "runs": []}')  # its tables are missing
+    with pytest.raises(Exception):
+        Archive.restore(spark, str(dumped), str(tmp_path / "a"), force=True)
+    assert archive.manifest()["runs"] == [{"run_id": "r"}] and not archive.store.exists(archive.store.at("LOCK"))
+    archive.store.create(archive.store.at("LOCK"), "held")
+    with pytest.raises(Exception, match="another run"):
+        archive.ingest([], "x")
+    archive.unlock()
+    assert not archive.store.exists(archive.store.at("LOCK"))

@@ -17,12 +17,13 @@ from .archive import TABLES, VERSION, Archive, ArchiveError
 from .functions import first_truthy
 from .operators import export
 from .operators.check import integrity_errors
-from .operators.profile import profile_export
+from .operators.profile import REPORT_VERSION, profile_export
 from .operators.search import QuerySyntaxError, matches
 from .sources.discovery import Inspection, discover
 
 __all__ = ["Archive", "ArchiveError", "IngestError", "IngestResult", "QuerySyntaxError", "check", "contract", "conversation_detail", "conversations", "dump", "export_bundle", "export_conversation", "export_conversations", "ingest_exports", "inspect_inputs", "list_runs", "profile_export", "restore", "search", "session"]
 
+CONTRACT_VERSION = 1
 ORDER_COLUMNS = (
     "id", "title", "created_at", "updated_at", "earliest_message_at", "latest_message_at", "default_model", "is_archived", "is_starred", "message_count", "message_count_main_path",
     "user_message_count", "assistant_message_count", "system_message_count", "tool_message_count", "safe_url_count", "blocked_url_count",
@@ -115,8 +116,9 @@ def conversations(archive: Archive, limit: int = 10, order_by: str | None = None
 
 def conversation_detail(archive: Archive, conversation_id: str, include_hidden: bool = False) -> tuple[DataFrame, DataFrame]:
     """The conversation and its messages in order; an unknown id gives two empty frames."""
-    one = archive.table("conversations").where(F.col("id") == conversation_id).drop("notes")
-    said = archive.table("messages").where(F.col("conversation_id") == conversation_id)
+    own = archive.bucket_of(conversation_id)
+    one = archive.table("conversations", own).where(F.col("id") == conversation_id).drop("notes")
+    said = archive.table("messages", own).where(F.col("conversation_id") == conversation_id)
     return one, export.visible(said, include_hidden).orderBy("time_index")
 
 
@@ -219,6 +221,14 @@ def restore(spark: SparkSession, source: str, database: str, force: bool = False
 def contract() -> dict:
     """What a client may rely on."""
     return {
+        "implementation_id": "threadloom",
+        "contract_version": CONTRACT_VERSION,
+        "package_version": __version__,
+        "canonical_schema_version": VERSION,
+        "input_kinds": ["json_file", "export_folder", "zip_file"],
+        "diagnostic_input_kinds": ["chat_html"],
+        "structural_profile": {"report_version": REPORT_VERSION, "content_free": True},
+        "ingest_semantics": {"atomic": True, "rejects_partial_runs": True, "structured_source_results": True},
         "name": "threadloom",
         "version": __version__,
         "schema_version": VERSION,
@@ -227,6 +237,7 @@ def contract() -> dict:
         "observed_only": ["chat.html"],
         "modes": ["skip_existing"],
         "message_kinds": ["user_visible_user", "user_visible_assistant", "system_context", "internal_reasoning", "tool_call", "tool_result", "unknown"],
-        "operations": ["ingest", "query", "search", "export-conversation", "export-conversations", "export-bundle", "check", "list-runs", "dump-db", "restore-db", "contract", "inspect-inputs", "profile-input"],
+        "operations": ["inspect_inputs", "profile_export", "ingest_exports", "query", "search", "export_conversation", "export_conversations", "export_bundle", "check", "list_runs", "dump_db", "restore_db"],
+        "commands": ["ingest", "query", "search", "export-conversation", "export-conversations", "export-bundle", "check", "list-runs", "dump-db", "restore-db", "contract", "inspect-inputs", "profile-input"],
         "atomic_runs": True,
     }

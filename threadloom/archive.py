@@ -2,14 +2,15 @@
 
 Tables are immutable. A run writes the buckets that it touches under a new version and then replaces the
 manifest, which names the files of every bucket: until then nothing has changed, so a run is atomic, and a
-reader keeps the version that it opened. One writer at a time holds the lock.
+reader keeps the version that it opened. One writer at a time holds the lock; a lock that a crash has left says
+who held it since when, and unlock() removes it. What a run stages is removed at its end. The root may lie on any
+file system that Hadoop knows.
 """
 
 from __future__ import annotations
 
 import contextlib
 import json
-import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
@@ -20,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from .operators import merge, normalize
 from .sources.export import SCHEMA, read_exports
+from .storage import Storage
 
 VERSION = 2
 BUCKETS, WRITERS = 16, 4
@@ -42,45 +44,42 @@ class Archive:
     """root: a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.store = Storage(spark, root)
+        self.spark, self.root, self.buckets = spark, self.store.root, buckets
 
     @property
     def manifest_path(self) -> str:
         return f"{self.root}/MANIFEST.json"
 
     def exists(self) -> bool:
-        return os.path.exists(self.manifest_path)
+        return self.store.exists(self.manifest_path)
 
     def manifest(self) -> dict:
         if not self.exists():
             return {"schema_version": VERSION, "version": 0, "buckets": self.buckets, "runs": [], "tables": {}}
-        with open(self.manifest_path, encoding="utf-8") as f:
-            found = json.load(f)
+        found = json.loads(self.store.read(self.manifest_path))
         if found.get("schema_version") != VERSION:
             raise ArchiveError(f"the archive has schema version {found.get('schema_version')}; this is {VERSION}")
         return found
 
     def _flip(self, manifest: dict) -> None:
-        new = f"{self.manifest_path}.{uuid.uuid4().hex}"
-        with open(new, "w", encoding="utf-8") as f:
-            json.dump(manifest, f, indent=2, sort_keys=True)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(new, self.manifest_path)
+        self.store.replace(self.manifest_path, json.dumps(manifest, indent=2, sort_keys=True))
 
     @contextlib.contextmanager
     def _lock(self):
-        os.makedirs(self.root, exist_ok=True)
-        path = f"{self.root}/LOCK"
+        path = self.store.at("LOCK")
         try:
-            handle = os.open(path, os.O_CREAT | os.O_EXCL)
+            self.store.create(path, json.dumps({"application": self.spark.sparkContext.applicationId, "since": now_iso()}))
         except FileExistsError as e:
-            raise ArchiveError("another run is writing this archive") from e
+            raise ArchiveError(f"another run is writing this archive: {self.store.read(path)}") from e
         try:
             yield
         finally:
-            os.close(handle)
-            os.unlink(path)
+            self.store.remove(path)
+
+    def unlock(self) -> None:
+        """Removes the lock of a run that has crashed; the archive is as it was before that run."""
+        self.store.remove(self.store.at("LOCK"))
 
     def _schemas(self) -> dict:
         if not _known:
@@ -106,9 +105,13 @@ class Archive:
     def bucket(self, column: str):
         return F.pmod(F.xxhash64(column), F.lit(self.manifest()["buckets"])).cast("int")
 
-    def write(self, tables: dict[str, DataFrame], buckets: set[int], run: dict | None) -> None:
-        """The tables' rows become those of the buckets, in one step."""
-        manifest = self.manifest()
+    def bucket_of(self, conversation_id: str) -> set[int]:
+        """The bucket that holds a conversation, found without reading any."""
+        return {self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(conversation_id)), F.lit(self.manifest()["buckets"])).cast("int")).first()[0]}
+
+    def write(self, tables: dict[str, DataFrame], buckets: set[int], run: dict | None, manifest: dict | None = None) -> None:
+        """The tables' rows become those of the buckets, in one step; manifest: what they are added to, if not the present one."""
+        manifest = manifest or self.manifest()
         version = manifest["version"] + 1
         known = self._schemas()
         folder = f"v={version}-{uuid.uuid4().hex[:8]}"
@@ -124,7 +127,7 @@ class Archive:
             files = manifest["tables"].setdefault(name, {})
             for b in buckets:
                 files.pop(str(b), None)
-                if os.path.isdir(f"{self.root}/{folder}/{name}/_bucket={b}"):
+                if self.store.exists(f"{self.root}/{folder}/{name}/_bucket={b}"):
                     files[str(b)] = f"{folder}/{name}/_bucket={b}"
         if run:
             manifest["runs"].append(run)
@@ -137,8 +140,12 @@ class Archive:
             manifest = self.manifest()
             if any(r["run_id"] == run_id for r in manifest["runs"]):
                 return {"status": "skipped", "run_id": run_id, "errors": [], "stats": {}}
-            started = now_iso()
-            staged = f"{self.root}/staging-{uuid.uuid4().hex}"
+            return self._ingested(sources, run_id, streaming, manifest)
+
+    def _ingested(self, sources: list[dict], run_id: str, streaming: bool, manifest: dict) -> dict:
+        started = now_iso()
+        staged = f"{self.root}/staging-{uuid.uuid4().hex}"
+        try:
             read_exports(self.spark, sources, streaming).write.parquet(staged)  # exports are decoded once
             decoded = self.spark.read.schema(self.spark.createDataFrame([], SCHEMA).schema).parquet(staged)
             errors = [r.asDict() for r in decoded.where("error is not null").select("source_label", "ordinal", "error").orderBy("source_label", "ordinal").collect()]
@@ -154,30 +161,31 @@ class Archive:
             run = {"run_id": run_id, "source": ", ".join(s["path"] for s in sources), "started_at": started, "finished_at": now_iso(), "stats": stats}
             self.write(merge.merge(old, new, run_id, started, f"{staged}-folded"), touched, run)
             return {"status": "success", "run_id": run_id, "errors": [], "stats": stats}
+        finally:
+            for part in ("", "-snapshots", "-folded"):
+                self.store.remove(staged + part)
 
     def dump(self, target: str) -> None:
         """A copy of the current version; the index is left out, as it follows from the messages."""
-        os.makedirs(target, exist_ok=True)
+        to = Storage(self.spark, target)
         for name, df in self.tables().items():
             if name != "message_index":
-                df.write.mode("error").parquet(f"{target}/{name}")
-        with open(f"{target}/META.json", "w", encoding="utf-8") as f:
-            json.dump({"schema_version": VERSION, "runs": self.manifest()["runs"]}, f, indent=2)
+                df.write.mode("error").parquet(to.at(name))
+        to.create(to.at("META.json"), json.dumps({"schema_version": VERSION, "runs": self.manifest()["runs"]}, indent=2))
 
     @classmethod
     def restore(cls, spark: SparkSession, source: str, root: str, force: bool = False) -> Archive:
-        archive = cls(spark, root)
-        with open(f"{source}/META.json", encoding="utf-8") as f:
-            meta = json.load(f)
+        archive, there = cls(spark, root), Storage(spark, source)
+        meta = json.loads(there.read(there.at("META.json")))
         if meta["schema_version"] != VERSION:
             raise ArchiveError(f"the dump has schema version {meta['schema_version']}; this is {VERSION}")
         if archive.exists() and not force:
             raise ArchiveError("the target exists; use force to replace it")
         with archive._lock():
             known = archive._schemas()
-            tables = {n: spark.read.schema(known[n]).parquet(f"{source}/{n}") for n in TABLES if n != "message_index"}
+            tables = {n: spark.read.schema(known[n]).parquet(there.at(n)) for n in TABLES if n != "message_index"}
             tables["message_index"] = merge.index(tables["messages"])
             version = archive.manifest()["version"] if archive.exists() else 0
-            archive._flip({"schema_version": VERSION, "version": version, "buckets": archive.buckets, "runs": meta["runs"], "tables": {}})
-            archive.write(tables, set(range(archive.buckets)), None)
+            fresh = {"schema_version": VERSION, "version": version, "buckets": archive.buckets, "runs": meta["runs"], "tables": {}}
+            archive.write(tables, set(range(archive.buckets)), None, fresh)  # until this ends, what was there stands
         return archive

@@ -155,7 +155,7 @@ def links(snaps: DataFrame) -> DataFrame:
 
 def _with_messages(snaps: DataFrame) -> DataFrame:
     """All messages, those without an id too, in the order of the export."""
-    out = snaps.select("seq", "run_id", F.col("id").alias("conversation_id"), "whole", F.posexplode("whole").alias("ord", "x"))
+    out = snaps.select("seq", "run_id", F.col("id").alias("conversation_id"), F.posexplode("whole").alias("ord", "x"))
     return out.where("x.n.has_message").withColumn("kind", message_kind(F.col("x.n.role"), F.col("x.n.content_type"), F.col("x.n.recipient")))
 
 
@@ -176,10 +176,16 @@ def tool_calls(snaps: DataFrame) -> DataFrame:
 
 
 def tool_results(snaps: DataFrame) -> DataFrame:
-    n = F.col("x.n")
-    out = _with_messages(snaps).where("kind = 'tool_result'")
-    call = F.try_element_at(F.filter("whole", lambda y: (y["n"]["own_id"] == F.col("x.g.call_node")) & y["n"]["has_message"] & (message_kind(y["n"]["role"], y["n"]["content_type"], y["n"]["recipient"]) == "tool_call")), F.lit(-1))["n"]
-    linked = F.when(call.isNotNull(), _call_id(F.col("conversation_id"), call))
+    """Each result with the call above it, which is found within the conversation's row; only results are exploded."""
+    kind = lambda y: message_kind(y["n"]["role"], y["n"]["content_type"], y["n"]["recipient"])
+    calls = F.transform(F.filter("whole", lambda y: y["n"]["has_message"] & (kind(y) == "tool_call")), lambda y: F.struct(y["n"]["own_id"].alias("own_id"), _call_id(F.col("id"), y["n"]).alias("call_id")))
+    placed = F.transform("whole", lambda y, i: F.struct(i.alias("ord"), y.alias("x")))
+    called = lambda y: F.try_element_at(F.filter("calls", lambda c: c["own_id"] == y["x"]["g"]["call_node"]), F.lit(-1))["call_id"]
+    kept = lambda y: F.struct(*(y["x"]["n"][c].alias(c) for c in ("message_id", "raw_result", "result_json", "metadata")))
+    results = F.transform(F.filter(placed, lambda y: y["x"]["n"]["has_message"] & (kind(y["x"]) == "tool_result")), lambda y: F.struct(y["ord"].alias("ord"), kept(y).alias("n"), called(y).alias("call")))
+    out = snaps.withColumn("calls", calls).select("seq", "run_id", F.col("id").alias("conversation_id"), F.explode(results).alias("r"))
+    out = out.select("seq", "run_id", "conversation_id", "r.*")
+    n, linked = F.col("n"), F.col("call")
     return out.select("seq", "ord", "conversation_id", stable_id(F.col("conversation_id"), n["message_id"], F.lit("tool_result"), n["raw_result"]).alias("id"), "run_id", n["message_id"].alias("message_id"), linked.alias("tool_call_id"), n["result_json"].alias("result_json"), n["raw_result"].alias("raw_result"), n["metadata"].alias("metadata"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from typing import Any
@@ -37,14 +38,36 @@ class ExportError(ValueError):
     pass
 
 
-def stream_array(handle, chunk: int = 1 << 16) -> Iterator[Any]:
-    """The elements of a JSON array as text comes in.
+_BRACKETS = re.compile(r'["\\{}\[\]]')
+_IN_STRING = re.compile(r'["\\]')
 
-    An end of input behind an element ends the array; what follows its bracket is not read; a comma before the
-    bracket is let pass.
+
+def _end(text: str, at: int, state: tuple[int, bool]) -> tuple[int, int, tuple[int, bool]]:
+    """How far an object, array or string has been looked at, where it ends (-1: not yet), and (depth, within a string) there."""
+    depth, quoted = state
+    while m := (_IN_STRING if quoted else _BRACKETS).search(text, at):
+        c, at = m[0], m.end()
+        if c == "\\":
+            if at == len(text):  # what is escaped comes with the next chunk
+                return m.start(), -1, (depth, quoted)
+            at += 1
+        elif c == '"':
+            quoted = not quoted
+        else:
+            depth += 1 if c in "{[" else -1
+        if depth == 0 and not quoted:
+            return at, at, (depth, quoted)
+    return len(text), -1, (depth, quoted)
+
+
+def stream_array(handle, chunk: int = 1 << 16, strict: bool = False) -> Iterator[Any]:
+    """The elements of a JSON array as text comes in; each is decoded once, when its end has been seen.
+
+    Elements are parted by commas. strict: by exactly one each, with none before the first and after the last, the
+    array is closed, and nothing follows. Else commas may be repeated, an end of input behind an element ends the
+    array, and what follows its bracket is not read.
     """
-    decode, text = json.JSONDecoder().raw_decode, ""
-    done = False
+    text, done = "", False
 
     def more() -> bool:
         nonlocal text, done
@@ -60,29 +83,49 @@ def stream_array(handle, chunk: int = 1 << 16) -> Iterator[Any]:
             if text or not more():
                 return text[:1]
 
+    def element() -> Any:
+        nonlocal text
+        if text[0] in '{["':
+            at, end, state = 0, -1, (0, False)
+            while True:
+                at, end, state = _end(text, at, state)
+                if end >= 0 or not more():
+                    break
+        else:  # a number or a word ends where something else begins
+            while not (m := re.search(r"[,\]\s]", text)) and more():
+                pass
+            end = m.start() if m else len(text)
+        if end < 0:
+            raise ExportError("broken JSON: an element is not closed")
+        own, text = text[:end], text[end:]
+        try:
+            return json.loads(own)
+        except json.JSONDecodeError as e:
+            raise ExportError(f"broken JSON: {e.msg}") from e
+
     if skip() != "[":
         raise ExportError("the top level is not an array")
     text = text[1:]
+    after = False
     while True:
-        first = skip()
-        if first == ",":
+        first, commas = skip(), 0
+        while first == ",":
+            commas += 1
             text = text[1:]
-            continue
-        if first in ("]", ""):
+            first = skip()
+        ends = first in ("]", "")
+        if strict and (first == "" or commas != (1 if after and not ends else 0)):
+            raise ExportError("commas or brackets are not in their places")
+        if ends:
+            if strict:
+                text = text[1:]
+                if skip():
+                    raise ExportError("something follows the array")
             return
-        while True:
-            try:
-                value, end = decode(text)
-            except json.JSONDecodeError as e:
-                if not more():
-                    raise ExportError(f"broken JSON: {e.msg}") from e
-                continue
-            # a number may go on in the next chunk
-            if end == len(text) and not isinstance(value, (dict, list, str)) and more():
-                continue
-            break
-        text = text[end:]
-        yield value
+        if after and not commas:
+            raise ExportError("broken JSON: a comma is missing")
+        yield element()
+        after = True
 
 
 def _obj(x: Any) -> dict:
