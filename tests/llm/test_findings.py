@@ -57,3 +57,35 @@ def test_token_table_is_of_all_partitions(spark):
     rest = spark.createDataFrame([(i, "beta " * 300) for i in range(5, 65)], "doc_id long, text string").repartition(3)
     table = tokencount._frequent(hot.union(rest), queries.tokenizer_path(), "text", 1000, 1)
     assert list(table) == ["beta"]
+
+
+def test_what_a_cut_brings_together_is_cut_too(spark):
+    """The item's own window hits; without it the words around it are another item."""
+    from threadloom.llm import decontam
+
+    words = lambda tag, n: [f"{tag}{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(n)]
+    left, right, hit, own = words("l", 7), words("r", 6), words("h", 13), [f"own{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    docs = spark.createDataFrame([(1, " ".join([*own, *left, *hit, *right, *own])), (2, " ".join(own)), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(hit)), (2, " ".join(left + right))], "item_id long, text string")
+    out = decontam.clean(docs, items)
+    assert {r["doc_id"]: (r["text"] or "").split() for r in out.collect()} == {1: own + own, 2: own, 3: []}
+    assert decontam.find_hits(out, items).where("n_hit > 0").isEmpty()
+
+
+def test_an_archive_cut_between_frames_is_refused(spark, tmp_path):
+    import pytest
+
+    from threadloom.llm import warc
+
+    pages = spark.createDataFrame([(i, "http://x", f"<p>{i}</p>") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    archives = warc.write_archives(warc.with_types(pages), f"file://{tmp_path}/a")
+    assert warc.read_archives(spark, archives).count() == 40
+    for r in archives.collect():
+        path = r["archive"].removeprefix("file://").removeprefix("file:")
+        with open(path, "rb") as f:
+            whole = f.read()
+        cuts = [i for i in range(len(whole)) if whole[i : i + 4] == b"\x28\xb5\x2f\xfd"]
+        with open(path, "wb") as f:
+            f.write(whole[: cuts[-1]])
+    with pytest.raises(Exception, match="records of"):
+        warc.read_archives(spark, archives).count()

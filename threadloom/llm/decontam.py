@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -253,14 +254,25 @@ def without_hits(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated rows; in the others the hit passages are cut out, so that no window of the benchmark stays."""
-    hits = find_hits(docs, benchmark)
-    kept = hits.where(~((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= SHARE * F.col("n_words"))))
+    """docs without contaminated rows; in the others the hit passages are cut out, so that no window of the benchmark stays.
+
+    What a cut brings together may be a window again, so texts that were cut are looked at until nothing hits;
+    each round they are fewer, and shorter. Only the texts as they come are judged contaminated.
+    """
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([without_hits(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    return kept.withColumn("text", F.when(F.col("n_hit") > 0, cut("text", "hit_spans")).otherwise(F.col("text"))).select(*docs.columns)
-
+    def shortened(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("text", cut("text", "hit_spans")).select(*docs.columns)
 
+    hits = find_hits(docs, benchmark)
+    kept = hits.where(~((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= SHARE * F.col("n_words"))))
+    parts = [kept.where("n_hit = 0").select(*docs.columns)]
+    rest = written(docs.sparkSession, shortened(kept.where("n_hit > 0")), "cut")
+    while not rest.isEmpty():
+        hits = find_hits(rest, benchmark)
+        parts.append(hits.where("n_hit = 0").select(*docs.columns))
+        rest = written(docs.sparkSession, shortened(hits.where("n_hit > 0")), "cut")
+    return reduce(DataFrame.unionByName, parts)

@@ -372,8 +372,9 @@ def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, perce
     room = F.lit(COORDS - matches + 1) - (COORDS - F.size("posts"))
     posts = mine.where(room > 0).join(_sketched(named), "num").select("num", "weight", F.col("num").alias("comp"), *_SKETCH, F.explode(F.slice("posts", 1, F.greatest(room, F.lit(1)))).alias("p")).select("p.token", *_CLASS)
     posts = written(spark, posts, "posts")
-    met = written(spark, _met(posts, _first_hub(posts), matches), "met")
-    discard(posts)
+    hubs = written(spark, _first_hub(posts), "hubs")  # a join of two tables can be split where a list is long
+    met = written(spark, _met(posts, hubs, matches), "met")
+    discard(posts, hubs)
     sets = _sets(spark, docs, met.select("num").distinct().join(named.select("num", "cid", "rep"), "num"), k, text)
 
     extra: list[DataFrame] = []
@@ -415,8 +416,9 @@ def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, perce
             hubs = _first_hub(before)
         else:
             before, hubs = many, _some_hubs(many)
+        hubs = written(spark, hubs, "hubs")
         some = written(spark, _met(before.select("token", *_CLASS), hubs, matches), "met")
-        discard(before)
+        discard(before, hubs)
         used.append(some)
         old.append(some)
         lists = some.where(~F.array_contains("met", F.col("num"))).select("token", *_CLASS)

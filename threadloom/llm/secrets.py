@@ -77,8 +77,8 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: tuple
     """doc_id, key, all_spans (array of start, end, kind number, value, live) and base_spans of every row."""
     rows = written(docs.sparkSession, found(docs, text, owner, repo), "secrets")
     values = rows.select("key", "owner", "repo", F.explode(F.array_distinct(F.transform(F.concat("assign", "access", "hex", "other"), lambda x: F.xxhash64(x["v"])))).alias("h"))
-    judged = values.select("key", "h").distinct().join(ownership(values), "h")
-    by_text = judged.groupBy("key").agg(F.collect_set(F.when(F.col("live"), F.col("h"))).alias("lives"))
+    judged = values.select("key", "h").distinct().join(ownership(values).where("live"), "h")  # a widely copied value meets none of its texts
+    by_text = judged.groupBy("key").agg(F.collect_set("h").alias("lives"))
     out = rows.join(by_text, "key", "left").withColumn("lives", F.coalesce("lives", F.array().cast("array<long>")))
     live = lambda x: F.array_contains(F.col("lives"), F.xxhash64(x["v"]))
     of = lambda column, kind: F.transform(column, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k"), live(x).alias("live")))

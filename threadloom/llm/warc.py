@@ -3,7 +3,7 @@
 Each task writes archives of its own into the shared folder, under a temporary name until they are whole, so
 a task that runs again replaces what it wrote. A dictionary is trained on the task's first records (at most
 SAMPLE_RECORDS and SAMPLE_BYTES). The reader loads the dictionary, decodes frame by frame with one record in
-memory, and fails on a bad header, length, digest or a frame that is cut off.
+memory, and fails on a bad header, length, digest, a frame that is cut off or a record too few.
 
 Of records with equal payloads of at least `least` bytes, those with the largest page_id are responses, the
 others revisits of it; smaller payloads are all responses. Null html is an empty payload. A null page_id is
@@ -223,23 +223,26 @@ _READ = "page_id long, url string, payload_bytes long, payload_digest string, re
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The checked records of the archives, one archive a task."""
+    """The checked records of the archives, one archive a task; an archive that was cut off between frames has too few."""
     schema = _READ + ", payload binary" * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive in batch.column(0).to_pylist():
+            for archive, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, at = pyarrow.fs.FileSystem.from_uri(archive)
-                rows, size = [], 0
+                rows, size, n = [], 0, 0
                 with fs.open_input_stream(at, compression=None) as stream:
                     for data in read_frames(stream):
                         rows.append(parsed(data))
+                        n += 1
                         size += len(data) if with_payload else 0
                         if len(rows) >= 5000 or size > 16 << 20:
                             yield batched(rows)
                             rows, size = [], 0
+                if records is not None and n != records:
+                    raise WarcError(f"{archive} has {n} records of {records}")
                 if rows:
                     yield batched(rows)
 
@@ -247,7 +250,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool =
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[x.split()[1]]) for n, x in zip(names, schema.split(", "))], names)
 
     n = max(1, archives.count())
-    return archives.select("archive").repartition(n).mapInArrow(read, schema)
+    return archives.select("archive", "records").repartition(n).mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
