@@ -12,7 +12,7 @@
    hubs are linked are one family. It is centred on a set V, the shingles that most of SAMPLE of its classes have (any set gives right results, a good
    one short lists): x and y can reach the threshold only if they share shingles that V lacks, at least
    percent * |x| - |x & V| of them, or if the smaller of |x & V| and |y & V| alone could reach it. So x is posted
-   anew under a prefix of the shingles of x - V; all are compared with the class nearest to V, and then the pairs
+   anew under a prefix of the shingles of x - V (lists of the same classes are one); all are compared with the class nearest to V, and then the pairs
    of the other kind unless one component has both; the new lists go the same way. After DEPTH centrings, HUBS
    classes of what is left of a list are compared with it a round. So components are whole, however large the
    group is, and copies with many edits each cost their own differences, not a comparison with all others.
@@ -344,10 +344,16 @@ def _renewed(rows: DataFrame, comps: DataFrame | None, n: int, column: str = "co
 
 
 def _undone(lists: DataFrame) -> DataFrame:
-    """lists that have several components, with the largest one (most) and how many classes lie outside it (minor)."""
-    sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
-    sizes = sizes.agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), (F.sum("c") - F.max("c")).alias("minor")).where("minor > 0")
-    return lists.join(sizes, "token")
+    """lists that have several components, with the largest one (most) and how many classes lie outside it (minor).
+
+    Of lists with the same classes one stays, as all of them would make the same pairs: a passage of many shingles
+    gives each of its shingles the same list. Sameness is a matter of their number and 128 bits of their hashes.
+    """
+    folds = [F.bit_xor(F.xxhash64("num", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("c"), *folds).groupBy("token")
+    sizes = sizes.agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.sum("c").alias("n"), F.max("c").alias("c"), *[F.bit_xor(x).alias(x) for x in ("x0", "x1")]).where("n > c")
+    once = sizes.groupBy("n", "c", "most", "x0", "x1").agg(F.min("token").alias("token"))
+    return lists.join(once.select("token", "most", (F.col("n") - F.col("c")).alias("minor")), "token")
 
 
 def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, percent: int, text: str, tied: bool) -> DataFrame:
