@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 from math import comb
 
 import numpy as np
@@ -171,14 +172,19 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _forests(links: DataFrame, most: int = ONE_TASK) -> DataFrame:
-    """(id, comp): the links (a, b) of each task with those that follow from others left out; at most `most` are held at once."""
+def _forests(links: DataFrame, most: int = ONE_TASK, percent: int | None = None) -> DataFrame:
+    """(id, comp): the links (a, b) of each task with those that follow from others left out; at most `most` are held at once.
+
+    With percent, a link counts if its sets bx and by reach it; they are not compared where a and b are joined already.
+    """
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         for batch in batches:
-            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
-                forest.add(a, b)
+            sets = repeat(None) if percent is None else _arrays(batch["bx"], batch["by"])
+            for a, b, both in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), sets):
+                if both is None or forest.root(a) != forest.root(b) and _reaches(*both, percent):
+                    forest.add(a, b)
             if len(forest.up) >= most:
                 yield packed(forest)
                 forest = _Forest()
@@ -188,12 +194,16 @@ def _forests(links: DataFrame, most: int = ONE_TASK) -> DataFrame:
         ids = list(forest.up)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([forest.root(x) for x in ids], pa.int64())], ["id", "comp"])
 
-    return links.select("a", "b").mapInArrow(trees, "id long, comp long")
+    columns = ["a", "b"] if percent is None else ["a", "b", "bx", "by"]
+    return links.select(*columns).mapInArrow(trees, "id long, comp long")
+
 
+def components(spark: SparkSession, links: DataFrame, one_task: int = ONE_TASK, percent: int | None = None) -> tuple[DataFrame, int]:
+    """(id, comp) of each node of the links (a, b) that is not the least of its component, with that least one; and the number of rows.
 
-def components(spark: SparkSession, links: DataFrame, one_task: int = ONE_TASK) -> tuple[DataFrame, int]:
-    """(id, comp) of each node of the links (a, b) that is not the least of its component, with that least one; and the number of rows."""
-    trees = written(spark, _forests(links), "forests")
+    With percent, only links whose sets bx and by reach it count.
+    """
+    trees = written(spark, _forests(links, percent=percent), "forests")
     n = trees.count()
     if not n:
         return trees, 0
@@ -240,16 +250,11 @@ def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(x) + len(y) - n)
 
 
-def _confirmed(pairs: DataFrame, rows: int, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the components of the pairs (x, y, cx, cy) whose full sets reach the threshold; y: hubs, which many pairs share."""
-
-    @F.arrow_udf("boolean")
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([_reaches(x, y, percent) for x, y in _arrays(a, b)], pa.bool_())
-
+def _with_sets(pairs: DataFrame, rows: int, sets: DataFrame) -> DataFrame:
+    """(a, b, bx, by): the components of the pairs (x, y, cx, cy) and the full sets; y: hubs, which many pairs share."""
     mine = sets.select(F.col("num").alias("x"), F.col("shingles").alias("bx")).join(small(pairs, rows), "x")
     hubs = sets.join(small(pairs.select(F.col("y").alias("num")).distinct(), rows), "num", "left_semi").select(F.col("num").alias("y"), F.col("shingles").alias("by"))
-    return mine.join(hubs, "y").where(linked("bx", "by")).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+    return mine.join(hubs, "y").select(F.col("cx").alias("a"), F.col("cy").alias("b"), "bx", "by")
 
 
 def own_shingles(x: np.ndarray, centre: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
@@ -391,7 +396,7 @@ def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, perce
         discard(spent)
         extra, spent = [], None
         n = pairs.count()
-        comps, c = components(spark, _confirmed(pairs, n, sets, percent)) if n else (None, 0)
+        comps, c = components(spark, _with_sets(pairs, n, sets), percent=percent) if n else (None, 0)
         if c:
             links.append(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
         if parted is not None:
