@@ -9,7 +9,7 @@
 3. Within a list no all-pairs are made. Its most connected class, the hub, is compared with the others; what
    links is merged into components, and a list whose classes share a component is done. If at most HUBS classes
    lie outside the largest component, they are compared with the list, which is then done. Longer lists whose
-   hubs are linked are one family. It is centred on a set V, the shingles that most of SAMPLE of its classes have (any set gives right results, a good
+   hubs are linked are one family, and so are families that share half of the smaller one's classes. It is centred on a set V, the shingles that most of SAMPLE of its classes have (any set gives right results, a good
    one short lists): x and y can reach the threshold only if they share shingles that V lacks, at least
    percent * |x| - |x & V| of them, or if the smaller of |x & V| and |y & V| alone could reach it. So x is posted
    anew under a prefix of the shingles of x - V (lists of the same classes are one); all are compared with the class nearest to V, and then the pairs
@@ -361,6 +361,26 @@ def _undone(lists: DataFrame) -> DataFrame:
     return lists.join(once.select("token", "most", (F.col("n") - F.col("c")).alias("minor")), "token")
 
 
+def _merged(spark: SparkSession, families: DataFrame) -> DataFrame:
+    """families (token, _CLASS), each made one with any larger one that holds half of its classes or more, as written.
+
+    Classes that share a passage lie in a family for each of several coordinates; each would post them all anew.
+    A class is in at most as many families as its prefix has postings, so its pairs of families are few.
+    """
+    families = written(spark, families, "families")
+    sizes = _dealt(families.groupBy("token").agg(F.count("*").alias("n")))
+    sized = families.select("token", "num", _slot()).join(sizes, ["token", "slot"])
+    mine = sized.groupBy("num").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("f")).where(F.size("f") > 1)
+    pairs = mine.select("f", F.posexplode("f").alias("i", "small")).select("small", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("large"))
+    shared = pairs.groupBy(F.col("small.token").alias("a"), F.col("small.n").alias("n"), F.col("large.token").alias("b")).agg(F.count("*").alias("c"))
+    comps, n = components(spark, shared.where("2 * c >= n"))
+    if not n:
+        return families
+    whole = written(spark, _renewed(families, comps, n, "token").dropDuplicates(["token", "num"]), "families")
+    discard(families)
+    return whole
+
+
 def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, percent: int, text: str, tied: bool) -> DataFrame:
     """(cid, root, component) of every class; tied: rows of one doc_id link their classes."""
     matches = matches_for(percent)
@@ -415,7 +435,8 @@ def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, perce
         if many.isEmpty():
             continue
         if step == 1:
-            many = many.select(F.col("hub").alias("token"), *_CLASS).dropDuplicates(["token", "num"])
+            many = _merged(spark, many.select(F.col("hub").alias("token"), *_CLASS).dropDuplicates(["token", "num"]))
+            used.append(many)
         if step <= DEPTH:
             parted = written(spark, _centred(many.select("token", *_CLASS), sets, percent), "centred")
             # the class nearest to the centre links most of those near it, before they are paired
