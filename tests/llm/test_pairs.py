@@ -122,3 +122,11 @@ def test_families_that_share_a_passage_are_centred(spark):
     want = components(rows, 5, 80)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     assert 1 < len({c for _, c in want.values()}) < len(want)
+
+
+def test_equal_lists_and_overlapping_families_are_one(spark):
+    rows = [(t, n, 1, n, *[0] * len(neardup._SKETCH)) for t, nums in {1: [1, 2, 3], 2: [1, 2, 3], 3: [2, 3, 4, 5], 4: [7, 8, 9]}.items() for n in nums]
+    lists = spark.createDataFrame(rows, ["token", *neardup._CLASS])
+    assert sorted((r["token"], r["num"]) for r in neardup._undone(lists).collect()) == [(1, 1), (1, 2), (1, 3), (3, 2), (3, 3), (3, 4), (3, 5), (4, 7), (4, 8), (4, 9)]
+    merged = neardup._merged(spark, lists).select("token", "num").collect()
+    assert sorted((r["token"], r["num"]) for r in merged) == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (4, 7), (4, 8), (4, 9)]
