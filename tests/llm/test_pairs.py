@@ -130,3 +130,58 @@ def test_equal_lists_and_overlapping_families_are_one(spark):
     assert sorted((r["token"], r["num"]) for r in neardup._undone(lists).collect()) == [(1, 1), (1, 2), (1, 3), (3, 2), (3, 3), (3, 4), (3, 5), (4, 7), (4, 8), (4, 9)]
     merged = neardup._merged(spark, lists).select("token", "num").collect()
     assert sorted((r["token"], r["num"]) for r in merged) == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (4, 7), (4, 8), (4, 9)]
+
+
+def _edited(bases, variants, edits):
+    """Texts of a few bases, each variant with edits of its own from a small vocabulary, and a near copy of every tenth."""
+    rng = random.Random(21)
+    shared = prose(rng, 80).split()
+    rows = []
+    for _ in range(bases):
+        base = shared + prose(rng, 60).split()
+        for i in range(variants):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            rows.append(" ".join(words))
+            if i % 10 == 0:
+                rows.append(" ".join([*words[:-1], f"own{i}"]))
+    return list(enumerate(rows))
+
+
+def test_the_classes_of_a_family_are_posted_once(spark, monkeypatch):
+    """Its lists overlap, so that centring each of them anew made rows with the square of the family."""
+    made, real = [], neardup.written
+
+    def counted(spark, df, name, *more):
+        out = real(spark, df, name, *more)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    rows = _edited(3, 60, 5)
+    got = _by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == components(rows, 5, 80)
+    assert sum(n for name, n in made if name == "centred") <= len(rows)
+
+
+def test_centred_families_equal_all_pairs(spark, monkeypatch):
+    """Every list is centred, none is looked at pair by pair."""
+    monkeypatch.setattr(neardup, "PAIRED", 0, raising=False)
+    rows = _edited(2, 40, 4)
+    got = _by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    want = components(rows, 5, 80)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert 1 < len({c for _, c in want.values()}) < len(want)
+
+
+def test_parities_never_show_more_differences_than_there_are():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    for n in (0, 1, 40, 900, 4000):
+        y = np.concatenate((x[n:], rng.integers(0, 1 << 63, n // 2).astype(np.uint64)))
+        a, b = (np.frombuffer(neardup.parities(s), np.uint8) for s in (x, y))
+        seen = int(np.bitwise_count(a ^ b).sum())
+        assert seen <= n + n // 2 and (n > 40 or seen >= 0.9 * (n + n // 2))

@@ -9,13 +9,17 @@
 3. Within a list no all-pairs are made. Its most connected class, the hub, is compared with the others; what
    links is merged into components, and a list whose classes share a component is done. If at most HUBS classes
    lie outside the largest component, they are compared with the list, which is then done. Longer lists whose
-   hubs are linked are one family, and so are families that share half of the smaller one's classes. It is centred on a set V, the shingles that most of SAMPLE of its classes have (any set gives right results, a good
-   one short lists): x and y can reach the threshold only if they share shingles that V lacks, at least
-   percent * |x| - |x & V| of them, or if the smaller of |x & V| and |y & V| alone could reach it. So x is posted
-   anew under a prefix of the shingles of x - V (lists of the same classes are one); all are compared with the class nearest to V, and then the pairs
-   of the other kind unless one component has both; the new lists go the same way. After DEPTH centrings, HUBS
-   classes of what is left of a list are compared with it a round. So components are whole, however large the
-   group is, and copies with many edits each cost their own differences, not a comparison with all others.
+   hubs are linked are one family, and so are families that share half of the smaller one's classes. In a family
+   of at most PAIRED classes one task looks at all pairs by BITS parities of their sets, which never show more
+   differences than there are, and only what they leave possible becomes a row. A larger family is centred on a
+   set V, the shingles that most of SAMPLE of its classes have (any set gives right results, a good one short
+   lists): x and y reach the threshold only if they differ in at most h shingles, so their differences from V
+   have most shingles in common or are few. Each class is posted under those of its first h + 1 differences, the
+   family's rarest first, that some partner may need, and a list counts if it holds one of the first h / 2 + 1
+   of a class. All are compared with the class that has most room near V, which joins the pairs that share no
+   difference. The new lists go the same way. After DEPTH centrings, HUBS classes of what is left of a list are
+   compared with it a round. So components are whole, however large the group is, and copies with many edits
+   each cost their own differences, not a comparison with all others.
 4. A met pair with enough equal coordinates is confirmed on the full sets.
 
 Components come from a forest of the links of each task; forests of at most ONE_TASK links are put together by
@@ -46,7 +50,9 @@ from .common import LOWER, discard, gram_hashes, mixed, odd_numbers, signed, tex
 SHINGLE, PERCENT = 5, 80
 COORDS, MISS = 32, 1e-6
 #: Classes that are compared with a whole list in one round; centrings one after another; classes that make a centre.
-HUBS, DEPTH, SAMPLE = 16, 8, 33
+HUBS, DEPTH, SAMPLE = 16, 8, 65
+#: Classes of a list whose pairs one task looks at; bits of a set's parities, a multiple of 64.
+PAIRED, BITS = 512, 1024
 #: Links that one task puts together (16 bytes each); rows of a broadcast table (at most 40 bytes each).
 ONE_TASK, BROADCAST_ROWS = 1_000_000, 250_000
 #: Tasks among which the classes of one family are dealt.
@@ -257,12 +263,56 @@ def _with_sets(pairs: DataFrame, rows: int, sets: DataFrame) -> DataFrame:
     return mine.join(hubs, "y").select(F.col("cx").alias("a"), F.col("cy").alias("b"), "bx", "by")
 
 
-def own_shingles(x: np.ndarray, centre: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """How many shingles x has of the centre, and the prefix, by hash, of those that the centre lacks."""
-    own = np.setdiff1d(x, centre, assume_unique=True)
-    n = len(x) - len(own)
-    least = max(1, -(-percent * len(x) // 100) - n)
-    return n, own[: max(0, len(own) - least + 1)]
+def differences(x: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, int, np.ndarray]:
+    """How far x is from the centre (shingles that one of them lacks), h, and the first h + 1 of those shingles, the rarest first.
+
+    No set that x reaches differs from it in more than h shingles. counts: see _centred.
+    """
+    sampled, (values, n) = counts[0], counts[1:].reshape(2, -1)
+    common = 2 * n > sampled
+    at = np.minimum(np.searchsorted(values, x), max(0, len(values) - 1))
+    known = values[at] == x if len(values) else np.zeros(len(x), bool)
+    lacked = common.copy()
+    lacked[at[known]] = False
+    own = ~known
+    own[known] = ~common[at[known]]
+    rarity = np.zeros(len(x), np.uint64)
+    rarity[known] = n[at[known]]
+    differing = np.concatenate((x[own], values[lacked]))
+    order = np.lexsort((differing, np.concatenate((rarity[own], sampled - n[lacked]))))
+    h = (100 - percent) * len(x) // percent
+    return len(differing), h, differing[order[: h + 1]]
+
+
+def parities(x: np.ndarray) -> bytes:
+    """For each of BITS parts, whether it has an odd number of the shingles. Each shingle that only one of two sets has changes one bit."""
+    odd = np.bincount((x >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _paired(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y, cx, cy) of the pairs of lists of at most PAIRED classes that the bits of parities() leave possible: none that reaches the threshold is lost."""
+
+    @F.arrow_udf("array<struct<x:long,y:long,cx:long,cy:long>>")
+    def possible(lists: pa.Array) -> pa.Array:
+        out, ends = [], [0]  # arrays of x, y, cx, cy; where each list's pairs end
+        for one in lists:
+            num, comp, size = (one.values.field(c).to_numpy(zero_copy_only=False) for c in ("num", "comp", "size"))
+            odd = np.frombuffer(b"".join(one.values.field("odd").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            total = ends[-1]
+            for i in range(len(num) - 1):
+                differing = np.bitwise_count(odd[i] ^ odd[i + 1 :]).sum(axis=1, dtype=np.int64)
+                j = i + 1 + np.flatnonzero(((100 + percent) * differing <= (100 - percent) * (size[i] + size[i + 1 :])) & (comp[i + 1 :] != comp[i]))
+                if len(j):
+                    out.append((np.full(len(j), num[i]), num[j], np.full(len(j), comp[i]), comp[j]))
+                    total += len(j)
+            ends.append(total)
+        columns = [pa.array(np.concatenate([o[c] for o in out]) if out else [], pa.int64()) for c in range(4)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["x", "y", "cx", "cy"]))
+
+    known = lists.select("token", "num", "comp").join(sets.select("num", "size", "odd"), "num")
+    groups = known.groupBy("token").agg(F.collect_list(F.struct("num", "comp", "size", "odd")).alias("g"))
+    return groups.select(possible("g").alias("g")).select(F.explode("g").alias("h")).select("h.*")
 
 
 def _slot(n: int = SLOTS) -> Column:
@@ -275,39 +325,50 @@ def _dealt(table: DataFrame) -> DataFrame:
 
 
 def _centred(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members (token, _CLASS) with n (shingles of the centre), size and own."""
+    """members (token, _CLASS) with size, far, h and posted, the shingles of differences().
+
+    The centre is what most of a family's sample has. It goes with the sample's size, the shingles that several of the
+    sample have, and how many have them; others count as the rarest.
+    """
 
     @F.arrow_udf("binary")
-    def centre(samples: pa.Array) -> pa.Array:
+    def counted(samples: pa.Array) -> pa.Array:
         out = []
         for own in samples:
             own = [np.frombuffer(v.as_buffer(), np.uint64) for v in own.values]
             values, n = np.unique(np.concatenate(own), return_counts=True)
-            out.append(values[2 * n > len(own)].tobytes())
+            several = (n > 1) | (2 * n > len(own))
+            out.append(np.concatenate((np.array([len(own)], np.uint64), values[several], n[several].astype(np.uint64))).tobytes())
         return pa.array(out, pa.binary())
 
-    @F.arrow_udf("struct<n:int,size:int,own:array<long>>")
+    @F.arrow_udf("struct<size:int,far:int,h:int,posted:array<long>>")
     def parted(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = [(len(x), *own_shingles(x, v, percent)) for x, v in _arrays(a, b)]
-        ints = lambda i: pa.array([o[i] for o in out], pa.int32())
-        return pa.StructArray.from_arrays([ints(1), ints(0), pa.array([signed(o[2]) for o in out], pa.list_(pa.int64()))], ["n", "size", "own"])
+        out = [(len(x), *differences(x, v, percent)) for x, v in _arrays(a, b)]
+        ints = [pa.array([o[i] for o in out], pa.int32()) for i in range(3)]
+        return pa.StructArray.from_arrays([*ints, pa.array([signed(o[3]) for o in out], pa.list_(pa.int64()))], ["size", "far", "h", "posted"])
 
     sampled = members.groupBy("token", _slot(SAMPLE)).agg(F.min("num").alias("num"))
-    centres = sampled.join(sets, "num").groupBy("token").agg(F.collect_list("shingles").alias("s")).select("token", centre("s").alias("centre"))
-    both = members.withColumn("slot", _slot()).join(_dealt(centres), ["token", "slot"]).join(sets, "num")
+    centres = sampled.join(sets.select("num", "shingles"), "num").groupBy("token").agg(F.collect_list("shingles").alias("s")).select("token", counted("s").alias("centre"))
+    both = members.withColumn("slot", _slot()).join(_dealt(centres), ["token", "slot"]).join(sets.select("num", "shingles"), "num")
     return both.select("token", *_CLASS, parted("shingles", "centre").alias("p")).select("token", *_CLASS, "p.*")
 
 
-def _by_centre(family: DataFrame, percent: int) -> DataFrame:
-    """(x, y, cx, cy) of different components whose shingles of the centre alone could make them reach the threshold."""
-    hundred, p = 100 + percent, percent
-    sizes = family.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("size").alias("least"))
-    sizes = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.min("least").alias("least"))
-    able = family.withColumn("slot", _slot()).join(_dealt(sizes), ["token", "slot"]).where(hundred * F.col("n") >= p * (F.col("size") + F.col("least")))
-    able = able.select("token", "slot", "num", "n", "size", "comp", "most")
-    minor = _dealt(able.where("comp <> most").select("token", F.col("num").alias("y"), F.col("n").alias("on"), F.col("size").alias("osize"), F.col("comp").alias("cy")))
-    both = able.join(minor, ["token", "slot"]).where((F.col("comp") != F.col("cy")) & (hundred * F.least("n", "on") >= p * (F.col("size") + F.col("osize"))))
-    return both.select(F.col("num").alias("x"), "y", F.col("comp").alias("cx"), "cy")
+def _posted(families: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of _centred(): lists (token, _CLASS) in which any linked pair that shares a difference meets; and pairs (x, y, cx, cy) that join the others.
+
+    If x and y are linked and x is not farther from the centre, the first difference that both have is at place h / 2
+    of x at the last, and at (h + far - far of x) / 2 of y. Linked pairs that share none are near the centre: both are
+    linked with the class that has most room, (100 - percent) * size - (100 + percent) * far.
+    """
+    room = (100 - percent) * F.col("size") - (100 + percent) * F.col("far")
+    nearest = families.groupBy("token").agg(F.max_by(F.struct("num", "comp"), F.struct(room, "num")).alias("b"), F.min("far").alias("least"))
+    met = families.withColumn("slot", _slot()).join(_dealt(nearest), ["token", "slot"])
+    joined = met.where(F.col("comp") != F.col("b.comp")).select(F.col("num").alias("x"), F.col("b.num").alias("y"), F.col("comp").alias("cx"), F.col("b.comp").alias("cy"))
+    last = F.floor((F.col("h") + F.least("h", F.col("far") - F.col("least"))) / 2).cast("int")
+    posts = met.select(F.col("token").alias("f"), *_CLASS, "h", F.posexplode(F.slice("posted", F.lit(1), last + 1)).alias("at", "e"))
+    posts = posts.select(F.xxhash64("f", "e").alias("token"), *_CLASS, (2 * F.col("at") <= F.col("h")).alias("first"))
+    several = posts.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("first").alias("first")).where("first and a <> b").select("token")
+    return posts.select("token", *_CLASS).join(several, "token", "left_semi"), joined
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
@@ -409,7 +470,7 @@ def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, perce
     sets = _sets(spark, docs, met.select("num").distinct().join(named.select("num", "cid", "rep"), "num"), k, text)
 
     extra: list[DataFrame] = []
-    parted, spent, used, old, step = None, None, [met], [met], 0
+    spent, used, old, step = None, [met], [met], 0
     lists = met.where(F.col("num") != F.col("met")[0]).select("token", *_CLASS, F.col("met")[0].alias("hub"))
     while old or extra:
         pairs = written(spark, reduce(DataFrame.union, [*map(_pairs, old), *extra]).distinct(), "pairs")
@@ -419,8 +480,6 @@ def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, perce
         comps, c = components(spark, _with_sets(pairs, n, sets), percent=percent) if n else (None, 0)
         if c:
             links.append(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        if parted is not None:
-            extra, spent, parted = [_by_centre(_renewed(parted, comps, c), percent)], parted, None
         if step == 0:  # lists whose hubs are linked are one family, as near copies share most of their lists
             lists = _renewed(lists, comps, c, "hub")
         undone = written(spark, _undone(_renewed(lists, comps, c)), "lists") if lists is not None else None
@@ -437,14 +496,16 @@ def _linked(spark: SparkSession, docs: DataFrame, rows: DataFrame, k: int, perce
         if step == 1:
             many = _merged(spark, many.select(F.col("hub").alias("token"), *_CLASS).dropDuplicates(["token", "num"]))
             used.append(many)
+        sizes = many.groupBy("token").agg(F.count("*").alias("n"))
+        extra.append(_paired(many.join(sizes.where(F.col("n") <= PAIRED), "token"), sets, percent))
+        many = many.join(sizes.where(F.col("n") > PAIRED).select("token"), "token")
+        if many.isEmpty():
+            continue
         if step <= DEPTH:
-            parted = written(spark, _centred(many.select("token", *_CLASS), sets, percent), "centred")
-            # the class nearest to the centre links most of those near it, before they are paired
-            nearest = parted.groupBy("token").agg(F.min_by(F.struct("num", "comp"), F.struct(F.col("size") - 2 * F.col("n"), "num")).alias("b")).select("token", F.col("b.num").alias("y"), F.col("b.comp").alias("cy"))
-            extra.append(parted.withColumn("slot", _slot()).join(_dealt(nearest), ["token", "slot"]).where("comp <> cy").select(F.col("num").alias("x"), "y", F.col("comp").alias("cx"), "cy"))
-            own = parted.select(F.col("token").alias("f"), *_CLASS, F.explode("own").alias("e")).select(F.xxhash64("f", "e").alias("token"), *_CLASS)
-            several = own.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-            before = written(spark, own.join(several, "token", "left_semi"), "own")
+            spent = written(spark, _centred(many.select("token", *_CLASS), sets, percent), "centred")
+            lists, joined = _posted(spent, percent)
+            extra.append(joined)
+            before = written(spark, lists, "own")
             hubs = _first_hub(before)
         else:
             before, hubs = many, _some_hubs(many)
@@ -471,21 +532,23 @@ def _named(classes: DataFrame, comps: DataFrame | None, n: int) -> DataFrame:
 
 
 def _sets(spark: SparkSession, docs: DataFrame, active: DataFrame, k: int, text: str) -> DataFrame:
-    """(num, shingles) of the classes in active (num, cid, rep), from the text of one row each."""
+    """(num, size, odd, shingles) of the classes in active (num, cid, rep), from the text of one row each; odd: parities()."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
-            keys, sets = [], []
+            keys, sizes, odd, sets = [], [], [], []
             for num, cid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
                 s = shingle_set(data, k)
                 if _digest(s) == cid:  # another row of that doc_id may have another set
                     keys.append(num)
+                    sizes.append(len(s))
+                    odd.append(parities(s))
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["num", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.array(sets, pa.binary())], ["num", "size", "odd", "shingles"])
 
     active = written(spark, active, "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).cast("string").alias("text"))
-    found = texts.join(small(active, active.count()), "rep").select("num", "cid", "text").mapInArrow(made, "num long, shingles binary")
+    found = texts.join(small(active, active.count()), "rep").select("num", "cid", "text").mapInArrow(made, "num long, size long, odd binary, shingles binary")
     sets = written(spark, found, "sets")
     discard(active)
     if sets.groupBy("num").count().where("count > 1").isEmpty():
