@@ -20,10 +20,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, signed, texts_of, word_hashes, written
+from .common import gram_hashes, signed, texts_of, tidied, word_hashes, written
 
 WINDOW, GRAM = 13, 5
 BROADCAST_BYTES = 32 << 20
@@ -129,18 +130,30 @@ def _benchmark(benchmark: DataFrame, text: str) -> DataFrame:
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", bound: int = BROADCAST_BYTES) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (code points) and hit_items (sorted as strings) added."""
     items = _benchmark(benchmark, text)
-    bytes_ = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-    return (_by_broadcast if bytes_ <= bound else _by_shuffle)(docs, items, window, gram, text)
+    return (_by_broadcast if _fits(items, bound) else _by_shuffle)(docs, items, window, gram, text)
+
+
+def _fits(items: DataFrame, bound: int) -> bool:
+    return items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] <= bound
+
+
+def _sent(items: DataFrame, window: int, gram: int) -> Broadcast[Index]:
+    return items.sparkSession.sparkContext.broadcast(Index([(r["item"], r["words"].encode()) for r in items.collect()], window, gram))
+
+
+def _loaded(index: Broadcast[Index]) -> Index:
+    own = index.value
+    if not hasattr(own, "seen"):
+        own.load()
+    return own
 
 
 def _by_broadcast(docs: DataFrame, items: DataFrame, window: int, gram: int, text: str) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index([(r["item"], r["words"].encode()) for r in items.collect()], window, gram))
+    index = _sent(items, window, gram)
 
     @F.arrow_udf(f"struct<n_words:long,n_hit:long,hit_spans:{_SPANS},hit_items:array<string>>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = index.value
-        if not hasattr(own, "seen"):
-            own.load()
+        own = _loaded(index)
         for batch in batches:
             yield _judged(batch, own)
 
@@ -226,7 +239,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, gram: int, text:
 
     kept = [c for c in docs.columns if c.lower() not in {*_ADDED, "_hits"}]
     joined = docs.withColumn("__text", key).join(by_text.select(F.col("key").alias("__text"), F.col("at").alias("__at"), F.col("ids").alias("__ids")), "__text", "left")
-    return joined.select(*kept, judged(F.col(text).cast("string"), "__at", "__ids").alias("_hits")).select(*kept, *(F.col(f"_hits.{c}").alias(c) for c in _ADDED))
+    return joined.select(*kept, judged.asNondeterministic()(F.col(text).cast("string"), "__at", "__ids").alias("_hits")).select(*kept, *(F.col(f"_hits.{c}").alias(c) for c in _ADDED))
 
 
 #: Hit words of a contaminated text, in hundredths of all its words.
@@ -253,12 +266,51 @@ def without_hits(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
     """docs without contaminated rows; in the others the hit passages are cut out, so that no window of the benchmark stays.
 
     What a cut brings together may be a window again, so texts that were cut are looked at until nothing hits;
     each round they are fewer, and shorter. Only the texts as they come are judged contaminated.
     """
+    items = _benchmark(benchmark, "text")
+    return _cleaned_at_once(docs, items) if _fits(items, bound) else _cleaned_in_rounds(docs, items)
+
+
+def _cleaned_at_once(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """All rounds of a text in the task that reads it, and one Python worker a task.
+
+    Filters are pushed through what is deterministic, which would run the function in the filter and again above it.
+    """
+    index = _sent(items, WINDOW, GRAM)
+
+    @F.arrow_udf("struct<kept:boolean,cut:string>")
+    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _loaded(index)
+        for batch in tidied(batches):
+            yield _cleaned(batch, own)
+
+    left = cleaned.asNondeterministic()(F.col("text").cast("string"))
+    found = docs.select("*", left.alias("__left")).where("__left.kept")
+    return found.withColumn("text", F.coalesce("__left.cut", "text")).select(*docs.columns)
+
+
+def _cleaned(batch: pa.Array, index: Index) -> pa.Array:
+    """Whether each text stays; what is left of it if passages were cut out, else null."""
+    kept, left = [], []
+    for data in texts_of(batch):
+        cut, words = None, (data or b"").translate(TABLE).split()
+        covered = index.hits(words)[0] if words else None
+        kept.append(covered is None or 100 * int(covered.sum()) < SHARE * len(words))
+        while kept[-1] and covered is not None:
+            cut = without_hits(data.decode(), spans_of(data, covered))
+            data = cut.encode()
+            covered = index.hits(words)[0] if (words := data.translate(TABLE).split()) else None
+        left.append(cut)
+    return pa.StructArray.from_arrays([pa.array(kept, pa.bool_()), pa.array(left, pa.string())], ["kept", "cut"])
+
+
+def _cleaned_in_rounds(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """For a benchmark too large to broadcast: each round finds the hits of all texts that the one before has cut."""
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -267,12 +319,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def shortened(hits: DataFrame) -> DataFrame:
         return hits.withColumn("text", cut("text", "hit_spans")).select(*docs.columns)
 
-    hits = find_hits(docs, benchmark)
+    hits = _by_shuffle(docs, items, WINDOW, GRAM, "text")
     kept = hits.where(~((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= SHARE * F.col("n_words"))))
     parts = [kept.where("n_hit = 0").select(*docs.columns)]
     rest = written(docs.sparkSession, shortened(kept.where("n_hit > 0")), "cut")
     while not rest.isEmpty():
-        hits = find_hits(rest, benchmark)
+        hits = _by_shuffle(rest, items, WINDOW, GRAM, "text")
         parts.append(hits.where("n_hit = 0").select(*docs.columns))
         rest = written(docs.sparkSession, shortened(hits.where("n_hit > 0")), "cut")
     return reduce(DataFrame.unionByName, parts)
